@@ -12,6 +12,7 @@ identifiers stay null; an empty table gives an empty result; other columns of th
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 
@@ -43,17 +44,35 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
         self.parts: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a pre-token
+        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def _encode(self, parts: list[bytes]) -> None:
-        for at in range(0, len(parts), 4096):
-            some = parts[at : at + 4096]
-            found = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in some], add_special_tokens=False)
-            self.parts.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(some, found, strict=True))
+        texts = [p.decode("utf-8", "replace") for p in parts]
+        alone = []
+        letters = [(p, t) for p, t in zip(parts, texts, strict=True) if t.isalpha() or alone.append((p, t))]
+        for at in range(0, len(letters), 512):  # words of letters are one pre-token each, so that many are encoded as one text
+            some = letters[at : at + 512]
+            ids = np.array(self.tokenizer.encode(" ".join(t for _, t in some), add_special_tokens=False).ids, "<u4")
+            ends = 4 * (np.flatnonzero(self.closes[ids]) + 1)
+            if len(ends) != len(some):  # a letter whose lower case is not a letter
+                alone += some
+                continue
+            raw, begin = ids.tobytes(), 0
+            for (p, _), end in zip(some, ends.tolist(), strict=True):
+                self.parts[p] = raw[begin:end]
+                begin = end
+        for at in range(0, len(alone), 4096):
+            some = alone[at : at + 4096]
+            found = self.tokenizer.encode_batch_fast([t for _, t in some], add_special_tokens=False)
+            self.parts.update((p, np.array(e.ids, "<u4").tobytes()) for (p, _), e in zip(some, found, strict=True))
 
     def learn(self, words: set[bytes]) -> None:
         if len(self.known) + len(words) > REMEMBERED:

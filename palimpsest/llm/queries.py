@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, packing, quality, toxicity, url_filter, warc
+from . import ctw, decontam, exact_dedup, language_id, packing, quality, simhash, toxicity, url_filter, warc
 from .common import shared_dir
 
 
@@ -28,6 +28,18 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_table(spark, sf_dir, "documents"))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(_table(spark, sf_dir, "documents"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
     return url_filter.judge(_table(spark, sf_dir, "pages"), rules)
@@ -57,7 +69,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op5_url_filter, op6_toxicity, op7_exact_dedup, op8_best_fit_packing, op9_warc, op10_quality)}
+    return {f.__name__: f for f in (op1_language_id, op2_simhash, op3_decontamination, op4_lm_score, op5_url_filter, op6_toxicity, op7_exact_dedup, op8_best_fit_packing, op9_warc, op10_quality)}
 
 
 _URL_SQL = f"""

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import is_fold, materialize, rows_of, tune
 
 #: Positives and unlabelled documents in the training sample, about; words of the classifier, at most.
-POSITIVES, UNLABELLED, WORDS = 3000, 9000, 2000
+POSITIVES, UNLABELLED, WORDS = 6000, 9000, 2000
 
 #: ASCII letters in lower case, digits and all bytes beyond ASCII stay; the rest separates words.
 _TOKENS = bytes(b if b > 127 or chr(b).isalnum() and not chr(b).isupper() else b + 32 if chr(b).isupper() and b < 128 else 32 for b in range(256))
@@ -44,7 +44,7 @@ def cluster_key(words: list[bytes]) -> int:
     return min(h(b" ".join(words[i : i + 3])) for i in range(n)) >> 1
 
 
-def train(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = 600, rate: float = 0.05, decay: float = 2e-4) -> tuple[np.ndarray, float]:
+def train(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = 1000, rate: float = 0.05, decay: float = 2e-4) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk, by Adam over the whole sample."""
     d = x.shape[1]
     v, m1, m2 = np.zeros(d + 1), np.zeros(d + 1), np.zeros(d + 1)
@@ -60,6 +60,10 @@ def train(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = 600, r
         grad[:-1] += decay * v[:-1]
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad**2
         v -= rate * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
+    low, high = -20.0, 20.0  # the bias at which the unlabelled rows' mean probability is the prior
+    for _ in range(50):
+        v[-1] = (low + high) / 2
+        low, high = (low, v[-1]) if (1 / (1 + np.exp(-u @ v))).mean() > prior else (v[-1], high)
     return v[:-1], float(v[-1])
 
 
@@ -95,18 +99,20 @@ def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
             yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.list_(pa.string()))], names=["doc_id", "sets", "key", "words"])
 
     found = materialize(docs.mapInArrow(read, "doc_id long, sets int, key long, words array<string>"))
-    rows = found.select(F.explode(F.filter(F.array(F.when(F.col("sets").bitwiseAND(1) > 0, F.lit(False)), F.when(F.col("sets").bitwiseAND(2) > 0, F.lit(True))), lambda s: s.isNotNull())).alias("pos"), "key", "doc_id", "words")
-    rows = materialize(rows.groupBy("pos", "key").agg(F.min_by("words", "doc_id").alias("words")))
+    rows = found.select((F.col("sets") == 1).alias("other"), F.explode(F.filter(F.array(F.when(F.col("sets").bitwiseAND(1) > 0, F.lit(False)), F.when(F.col("sets").bitwiseAND(2) > 0, F.lit(True))), lambda s: s.isNotNull())).alias("pos"), "key", "doc_id", "words")
+    rows = materialize(rows.groupBy("pos", "key").agg(F.min_by("words", "doc_id").alias("words"), F.min("other").alias("other")))
     size = {r.pos: r["count"] for r in rows.groupBy("pos").count().collect()}
     np_, nu = size.get(True, 0), size.get(False, 0)
     if not np_ or not nu:
         return {}, bias
-    seen = rows.select("pos", F.explode("words").alias("word")).groupBy("word").agg(F.sum(F.col("pos").cast("int")).alias("a"), F.sum((~F.col("pos")).cast("int")).alias("b"))
-    a, b, rate = F.col("a"), F.col("b") + 0.5, (F.col("a") + F.col("b") + 0.5) / (np_ + nu + 1)
-    g = 2 * (a * F.log(a / (np_ * rate)) + b * F.log(b / ((nu + 1) * rate)))
-    vocabulary = seen.count()
-    least = 2 * np.log(max(vocabulary, 2))
-    picked = seen.where((F.col("a") >= 3) & (F.col("a") / np_ > 2 * b / (nu + 1))).withColumn("g", g).where(F.col("g") > least)
+    # Words of positives against those of rows not known to be positive.
+    no = rows.where("other").count()
+    seen = rows.where("pos or other").select("pos", F.explode("words").alias("word")).groupBy("word").agg(F.sum(F.col("pos").cast("int")).alias("a"), F.sum((~F.col("pos")).cast("int")).alias("b"))
+    a, b, rate = F.col("a"), F.col("b") + 0.5, (F.col("a") + F.col("b") + 0.5) / (np_ + no + 1)
+    g = 2 * (a * F.log(a / (np_ * rate)) + b * F.log(b / ((no + 1) * rate)))
+    tested = materialize(seen.where("a >= 3").withColumn("g", g))
+    least = 2 * np.log(max(tested.count(), 20))
+    picked = tested.where((F.col("a") / np_ > 3 * b / (no + 1)) & (F.col("g") > least))
     chosen = [r.word for r in picked.orderBy(F.desc("g"), "word").limit(words).collect()]
     if not chosen:
         return {}, bias
