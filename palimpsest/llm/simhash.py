@@ -309,3 +309,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         least = materialize(found.groupBy("root").agg(F.min("first").alias("component_id")))
         label = materialize(found.join(least, "root").select("fp", "component_id"))
     return out.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
+    """The rows whose identifier names their component, with all their columns. Rows without an identifier stay."""
+    found = near_duplicates(docs, id_col, text_col, distance)
+    gone = materialize(found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")))
+    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")

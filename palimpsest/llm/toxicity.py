@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_fold, materialize, rows_of, tune
+from .common import binary_values, is_fold, materialize, rows_of, tune
 
 #: Positives and unlabelled documents in the training sample, about; words of the classifier, at most.
 POSITIVES, UNLABELLED, WORDS = 6000, 9000, 2000
@@ -126,19 +126,42 @@ def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     return {w.encode(): float(v) for w, v in zip(chosen, weights, strict=True)}, bias
 
 
+def _learned(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[dict[bytes, float], float]:
+    training = F.col("doc_id").isNotNull() & ~is_fold("doc_id", 4, 2)
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(training)
+    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(training & F.col("y").isin(0, 1))
+    return learn(base, known)
+
+
+def probabilities(texts: list[bytes], weights: dict[bytes, float], bias: float) -> np.ndarray:
+    vocabulary = weights.keys()
+    z = np.array([bias + sum(weights[w] for w in vocabulary & set(tokens(t))) for t in texts])
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted of every row; labels of the fold with remainder 2 are never read."""
     tune(docs.sparkSession)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    training = F.col("doc_id").isNotNull() & ~is_fold("doc_id", 4, 2)
-    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(training & F.col("y").isin(0, 1))
-    weights, bias = learn(base.where(training), known)
-    vocabulary = frozenset(weights)
+    weights, bias = _learned(docs, labels, id_col, text_col, label_col)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in rows_of(batches, "text"):
-            z = np.array([bias + sum(weights[w] for w in vocabulary.intersection(tokens(t))) for t in texts])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(probabilities(texts, weights, bias))], names=["doc_id", "score"])
 
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out = base.mapInArrow(score, "doc_id long, score double")
     return out.select("doc_id", is_fold("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.3) -> DataFrame:
+    """The rows that score below the threshold, with all their columns."""
+    tune(docs.sparkSession)
+    weights, bias = _learned(docs, labels, id_col, text_col, label_col)
+    at = docs.columns.index(text_col)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(probabilities(binary_values(batch.column(at)), weights, bias) < threshold))
+
+    return docs.mapInArrow(clean, docs.schema)
