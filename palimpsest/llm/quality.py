@@ -142,7 +142,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     order = F.xxhash64("doc_id")
     known = known.orderBy(order, "doc_id", "y").limit(labelled)  # bounded, so that the driver can hold their statistics
     rows = known.join(stats, "doc_id").orderBy(order, "doc_id", "y").limit(2 * labelled).collect()
-    model = fit(np.array([r.stats for r in rows]).reshape(len(rows), -1), np.array([r.y for r in rows]))
+    model = fit(np.array([r.stats for r in rows]), np.array([r.y for r in rows]))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

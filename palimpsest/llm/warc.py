@@ -56,7 +56,7 @@ def build_dictionary(samples: list[bytes]) -> bytes:
 
     if len(samples) >= 16:
         try:
-            return zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=256, d=8, f=20, accel=4).as_bytes()
+            return zstandard.train_dictionary(min(DICTIONARY_BYTES, max(4096, sum(map(len, samples)) // 16)), samples, k=256, d=8, f=20, accel=4).as_bytes()
         except zstandard.ZstdError:
             pass
     return b"".join(samples)[: DICTIONARY_BYTES // 4]
