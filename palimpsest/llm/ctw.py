@@ -190,6 +190,29 @@ def _hash(words: list[bytes]) -> np.ndarray:
     return np.fromiter((h(w) for w in words), np.uint64, len(words))
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """An array's bytes, those of equal place together, compressed."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(x), -1).T.tobytes())
+
+
+def _unplanes(raw: bytes, kind: type) -> np.ndarray:
+    import zstandard
+
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as compressed differences."""
+    return _planes(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _unpack_keys(raw: bytes) -> np.ndarray:
+    return np.cumsum(_unplanes(raw, np.uint64), dtype=np.uint64)
+
+
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     k, where = np.unique(np.concatenate(keys), return_inverse=True)
     return k, np.bincount(where, np.concatenate(counts), len(k)).astype(np.int64)
@@ -220,7 +243,9 @@ class BlockCounts:
 
     def shares(self, buckets: int) -> Iterator[tuple[str, int, np.ndarray, np.ndarray]]:
         words = list(self.words.keys() | self.others)
-        tables = [("w", _hash(words), np.fromiter((self.words[w] for w in words), np.int64, len(words)))]
+        keys = _hash(words)
+        order = np.argsort(keys)
+        tables = [("w", keys[order], np.fromiter((self.words[w] for w in words), np.int64, len(words))[order])]
         if self.keys:
             tables.append(("g", *_summed(self.keys, self.counts)))
         for kind, keys, counts in tables:
@@ -262,7 +287,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, list[
                 if held:
                     yield *at, held
                 at, held = (kind, bucket), []
-            held.append((block, np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.int64)))
+            held.append((block, _unpack_keys(keys), _unplanes(counts, np.int64)))
     if held:
         yield *at, held
 
@@ -292,7 +317,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
 
         def done() -> Iterator[pa.RecordBatch]:
             for kind, bucket, keys, n in counts.shares(buckets):
-                yield _packed([(kind, bucket, now, keys.tobytes(), n.tobytes())])
+                yield _packed([(kind, bucket, now, _pack_keys(keys), _planes(n))])
 
         for batch, texts in rows_of(batches, "text"):
             numbers = batch.column("block").to_numpy()
@@ -325,9 +350,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for kind, bucket, held in _groups(batches):
             keys, n = _summed([k for _, k, _ in held], [c for _, _, c in held])
-            answers = n if kind == "w" else Tree(keys, n, depth).log10(upper)
+            answers = n if kind == "w" else Tree(keys, n, depth).log10(upper).astype(np.float32)
             for block, own, _ in held:
-                yield _packed([(kind, bucket, block, own.tobytes(), answers[np.searchsorted(keys, own)].tobytes())])
+                yield _packed([(kind, bucket, block, _pack_keys(own), _planes(answers[np.searchsorted(keys, own)]))])
 
     answered = shared.mapInArrow(values, PACKED)
     none = F.lit(None)
@@ -344,7 +369,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
         def ready() -> None:
             k, v = (np.concatenate(x) for x in zip(*state["g"], strict=True))
             k, first = np.unique(k, return_index=True)
-            state["grams"], state["logs"] = Lookup(k), v[first]
+            state["grams"], state["logs"] = Lookup(k), v[first].astype(np.float64)
             k, v = (np.concatenate(x) for x in zip(*state["w"], strict=True))
             state["keys"], first = np.unique(k, return_index=True)
             state["counts"] = v[first]
@@ -390,6 +415,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
                 if state["block"] != block[lo]:
                     state["block"], state["w"], state["g"] = block[lo], [], []
                 for kind, keys, answer in zip(*(part.column(c).to_pylist() for c in ("kind", "keys", "counts")), strict=True):
-                    state[kind].append((np.frombuffer(keys, np.uint64), np.frombuffer(answer, np.int64 if kind == "w" else np.float64)))
+                    state[kind].append((_unpack_keys(keys), _unplanes(answer, np.int64 if kind == "w" else np.float32)))
 
     return ordered.mapInArrow(runs, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
