@@ -1,6 +1,8 @@
 """Flush and compaction: collapse of operands, retention with expiry, and the compaction filter.
 
-All three are windows over (key, newest first) and share one exchange on the key.
+What depends on the order of a key's versions is computed per span of sequence numbers and then stitched together from
+one row per key and span, so that no task ever holds all versions of a key. Retention needs no order at all: the versions
+that stay are those from a sequence number on that a partial aggregation finds.
 """
 
 from __future__ import annotations
@@ -14,18 +16,32 @@ from .log import COLUMNS, MERGE, TOMBSTONE, VALUE, LogError
 from .merge_ops import MergeOperator
 
 
-def collapse(log: DataFrame, merge: MergeOperator | None, barrier: int | None = None) -> DataFrame:
+#: Sequence numbers whose versions of one key are ordered in one task.
+SPAN = 1 << 20
+
+
+def collapse(log: DataFrame, merge: MergeOperator | None, barrier: int | None = None, span: int = SPAN) -> DataFrame:
     """Folds runs of operands (and the base below them) into one row each.
 
     A run ends at a row that is not an operand, at an operand beyond the snapshot barrier, and where the expiry changes.
     """
-    w = Window.partitionBy("key").orderBy(F.desc("seq"))
     if merge is None:
         return log.select(*COLUMNS)
-    held = F.lag("seq").over(w) > barrier if barrier is not None else F.lit(False)
-    starts = F.lag("kind").over(w).isNull() | (F.lag("kind").over(w) != MERGE) | held | ~F.lag("expire_ts").over(w).eqNullSafe(F.col("expire_ts"))
-    runs = log.select(*COLUMNS, starts.cast("int").alias("_start"))
-    runs = runs.withColumn("_run", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = log.select(*COLUMNS, F.floor(F.col("seq") / span).alias("_span"))
+    newer = Window.partitionBy("key", "_span").orderBy(F.desc("seq"))
+    spans = Window.partitionBy("key").orderBy(F.desc("_span"))  # one row per key and span
+    row = F.struct("kind", "seq", "expire_ts")
+    oldest = rows.groupBy("key", "_span").agg(F.min_by(row, "seq").alias("_oldest"))
+    before = oldest.select("key", "_span", F.lag("_oldest").over(spans).alias("_before"))
+    rows = rows.withColumn("_lag", F.lag(row).over(newer)).join(before, ["key", "_span"])
+    last = F.coalesce("_lag", "_before")
+    held = last["seq"] > barrier if barrier is not None else F.lit(False)
+    starts = last.isNull() | (last["kind"] != MERGE) | held | ~last["expire_ts"].eqNullSafe(F.col("expire_ts"))
+    rows = rows.withColumn("_start", starts.cast("int"))
+    counted = rows.groupBy("key", "_span").agg(F.sum("_start").alias("_n"))
+    offset = counted.select("key", "_span", F.coalesce(F.sum("_n").over(spans.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
+    runs = rows.withColumn("_run", F.sum("_start").over(newer.rowsBetween(Window.unboundedPreceding, 0))).join(offset, ["key", "_span"])
+    runs = runs.withColumn("_run", F.col("_run") + F.col("_offset"))
     folded = runs.groupBy("key", "_run").agg(
         F.count(F.lit(1)).alias("_n"),
         F.max("kind").alias("_only"),
@@ -47,7 +63,6 @@ def retain(log: DataFrame, now: int | None = None, min_seq: int | None = None, d
     operand, lies beyond min_seq, or lies within the time window; the first that is none of these is the last one kept.
     drop_tail removes tombstones below which nothing is left: only where the oldest run takes part.
     """
-    w = Window.partitionBy("key").orderBy(F.desc("seq"))
     expired = F.lit(False) if now is None else F.coalesce(F.col("expire_ts") <= now, F.lit(False))
     rows = log.where(~((F.col("kind") == MERGE) & expired))
     window = F.lit(False)
@@ -57,14 +72,15 @@ def retain(log: DataFrame, now: int | None = None, min_seq: int | None = None, d
     beyond = F.col("seq") > min_seq if min_seq is not None else F.lit(False)
     stop = (F.col("kind") != MERGE) & ~beyond & ~window
     turned = (F.col("kind") == VALUE) & expired
-    rows = rows.withColumns({"_stop": stop.cast("int"), "_turned": turned})
+    rows = rows.withColumns({"_stop": stop, "_turned": turned})
     rows = rows.withColumns({"kind": F.when(F.col("_turned"), TOMBSTONE).otherwise(F.col("kind")), "value": F.when(~F.col("_turned"), F.col("value")), "expire_ts": F.when(~F.col("_turned"), F.col("expire_ts"))})
-    before = F.sum("_stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("_before", before).where(F.coalesce("_before", F.lit(0)) == 0)
+    # The newest row that stops is the oldest one kept; of what is kept, tombstones older than every other row are the tail.
+    found = rows.groupBy("key").agg(F.max(F.when(F.col("_stop"), F.col("seq"))).alias("_last"))
+    rows = rows.join(found, "key").where(F.col("_last").isNull() | (F.col("seq") >= F.col("_last"))).select(*COLUMNS)
     if drop_tail:
-        below = F.sum((F.col("kind") != TOMBSTONE).cast("int")).over(w.rowsBetween(0, Window.unboundedFollowing))
-        rows = rows.withColumn("_below", below).where("_below > 0")
-    return rows.select(*COLUMNS)
+        live = rows.where(F.col("kind") != TOMBSTONE).groupBy("key").agg(F.min("seq").alias("_live"))
+        rows = rows.join(live, "key").where(F.col("seq") >= F.col("_live")).select(*COLUMNS)
+    return rows
 
 
 KEEP, DROP = "keep", "drop"

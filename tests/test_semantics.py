@@ -96,6 +96,8 @@ def test_compaction_is_a_fold(spark, seed):
     rows = random_rows(rng)
     barrier, now, min_seq = rng.choice([None, 30]), rng.choice([None, 300]), rng.choice([None, 20])
     log = spark.createDataFrame(rows, LOG)
+    narrow = C.retain(C.collapse(log, M.SUM, barrier, span=7), now, min_seq, seed % 2 == 0)
+    assert sorted(map(str, (tuple(r) for r in narrow.collect()))) == sorted(map(str, fold_compaction(rows, barrier, now, min_seq, seed % 2 == 0)))
     got = sorted(tuple(r) for r in C.compact([log.where("seq % 2 = 0"), log.where("seq % 2 = 1")], M.SUM, now, barrier, min_seq, oldest=seed % 2 == 0).collect())
     assert sorted(map(str, got)) == sorted(map(str, fold_compaction(rows, barrier, now, min_seq, seed % 2 == 0)))
 
@@ -304,3 +306,17 @@ def test_running_state(spark, tmp_path):
     assert sorted(tuple(r) for r in spark.sql("select key, value, seq from running").collect()) == [(1, 12, 2), (3, 2, 5)]
 
 
+def test_command_line(spark, tmp_path, capsys):
+    from palimpsest.__main__ import main
+
+    root = str(tmp_path / "s")
+    for k, v in (("a1", "x"), ("a2", "y"), ("b1", "z")):
+        assert main(["put", root, k, v]) == 0
+    main(["delete", root, "a2"])
+    capsys.readouterr()
+    main(["scan", root, "--prefix", "a"])
+    assert capsys.readouterr().out == "a1\tx\n"
+    main(["checkpoint", root, "now"])
+    main(["flush", root])
+    main(["scan", root, "--from", "0x61", "--values", "hex", "--max-keys", "1"])
+    assert capsys.readouterr().out.endswith("a1\t0x78\n")
