@@ -56,3 +56,24 @@ def checkpoints(store: Store, now_ms: int | None = None) -> DataFrame:
 def files(store: Store) -> DataFrame:
     rows = [(f["path"], f["segment"], f["level"], f["run"], i, f["size"], f.get("clip")) for i, f in enumerate(store.manifest().files)]
     return store.spark.createDataFrame(rows, "path string, segment string, level int, run_id long, position int, size long, clip string")
+
+
+def wal_files(store: Store) -> DataFrame:
+    """Write batches that are still there."""
+    rows = [(int(n), store.files.size(f"{store.root}/wal/{n}"), t) for n, t in store.files.names(f"{store.root}/wal")]
+    return store.spark.createDataFrame(rows, "batch long, size long, written_ms long")
+
+
+def segments(store: Store) -> DataFrame:
+    return files(store).groupBy("segment").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("size"), F.max("run_id").alias("last_run"))
+
+
+def status(store: Store) -> DataFrame:
+    m = store.manifest()
+    row = (m.id, m.epoch, m.last_seq, m.persisted_seq, m.next_wal - 1 - m.replayed_wal, len(m.files))
+    return store.spark.createDataFrame([row], "manifest_id long, writer_epoch long, last_seq long, persisted_seq long, unflushed_batches long, files int")
+
+
+def observed(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, with counts reported to query listeners."""
+    return df.observe(name, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("kind") == "T").alias("deletes"), F.max("seq").alias("last_seq"))

@@ -37,9 +37,10 @@ def consume(store: Store, sink: Callable[[DataFrame, int], Any], cursor: int = 0
     return cursor
 
 
-def stream(spark: Any, folder: str, schema: T.StructType) -> DataFrame:
-    """A folder of Parquet batches as an unbounded table, with the number of the batch."""
-    rows = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(folder)
+def stream(spark: Any, folder: str, schema: T.StructType, max_files: int | None = None) -> DataFrame:
+    """A folder of Parquet batches as an unbounded table, with the number of the batch. max_files bounds a micro-batch."""
+    reader = spark.readStream.schema(schema).option("recursiveFileLookup", "true")
+    rows = (reader if max_files is None else reader.option("maxFilesPerTrigger", max_files)).parquet(folder)
     return rows.withColumn("batch", F.regexp_extract(F.input_file_name(), r"/(\d{20})/", 1).cast("long"))
 
 

@@ -320,3 +320,83 @@ def test_command_line(spark, tmp_path, capsys):
     main(["flush", root])
     main(["scan", root, "--from", "0x61", "--values", "hex", "--max-keys", "1"])
     assert capsys.readouterr().out.endswith("a1\t0x78\n")
+
+
+def test_filters_rule_out_files(spark, tmp_path):
+    from palimpsest.functions.prefix import DelimitedPrefix, FixedPrefix
+    from palimpsest.sources.filters import BloomPolicy, BoundsPolicy
+
+    policies = [BoundsPolicy(), BloomPolicy(expected=1000), BloomPolicy(FixedPrefix(2), expected=1000)]
+    s = Store(spark, str(tmp_path / "a"), key=T.BinaryType(), value=T.LongType(), policies=policies)
+    for keys in ((b"aa1", b"zz1"), (b"ab1", b"zy1")):
+        for k in keys:
+            s.put(k, 1)
+        s.flush()
+    m = s.manifest()
+    count = lambda r: len(s.pruned(m, r).files)
+    assert count(KeyRange.point(b"aa1")) == 1 and count(KeyRange.point(b"mm")) == 0 and count(KeyRange.point(b"zzz")) == 0
+    assert count(KeyRange.prefix(b"ab")) == 1 and count(KeyRange.prefix(b"q1")) == 0 and count(KeyRange()) == 2
+    assert s.get(b"zy1").count() == 1 and s.scan(KeyRange.prefix(b"z")).count() == 2 and s.scan(replay=False).count() == 4
+    d = DelimitedPrefix(b"\x00/")
+    rows = spark.createDataFrame([(b"a\x00/b\x00/",), (b"\x10\x00\x2f",), (b"none",), (b"\x00\x02\xf0",)], "key binary")
+    assert [r.p and bytes(r.p) for r in rows.select(d.column(F.col("key")).alias("p")).collect()] == [d.of(bytes(r.key)) for r in rows.collect()]
+    assert d.shared(KeyRange.prefix(b"a\x00/")) == b"a\x00/" and d.shared(KeyRange.prefix(b"a")) is None
+
+
+def test_segments_of_a_store(spark, tmp_path):
+    from palimpsest.sources import inspect
+
+    s = Store(spark, str(tmp_path / "a"), segment=lambda k: F.floor(k / 10), key=T.LongType(), value=T.LongType())
+    for i in range(4):
+        s.write(s._ops([("put", k, i, None) for k in (1, 11, 12, 21)]), now_ms=60_000 * i)
+        s.flush()
+    assert inspect.segments(s).count() == 3 and inspect.status(s).first().unflushed_batches == 0
+    (proposal, *_) = SizeTiered().propose(s.trees(), 0, s.manifest().next_run)
+    s.compact(proposal)
+    assert {r.key: r.value for r in s.scan().collect()} == {1: 3, 11: 3, 12: 3, 21: 3}
+    other = s.clone(str(tmp_path / "b"), segments=["1"])
+    s.collect_garbage()
+    assert sorted(r.key for r in other.scan().collect()) == [11, 12]
+    assert sorted((r.seq, r.ts) for r in s.tracker().collect())[-1] == (4, 180)
+    s.drain("2")
+    assert s.scan().count() == 3 and inspect.wal_files(s).count() == 0 and inspect.manifests(s).count() >= 1
+
+
+def test_trivial_move(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "a"), key=T.LongType(), value=T.LongType())
+    for k in (1, 50):
+        s.put(k, k)
+        s.flush()
+    s.move_down()
+    assert [f["level"] for f in s.manifest().files] == [1, 1] and s.scan().count() == 2
+    for _ in range(2):
+        s.put(7, 7)
+        s.flush()
+    with pytest.raises(LogError):
+        s.move_down()
+
+
+def test_settings(tmp_path):
+    from palimpsest.settings import Settings
+
+    (tmp_path / "s.json").write_text('{"least_sources": 2, "size_ratio": 3.0}')
+    s = Settings.load(str(tmp_path / "s.json"), environment={"PALIMPSEST_SIZE_RATIO": "5.5", "PALIMPSEST_BLOOM_FILTER": "false", "OTHER": "1"})
+    assert (s.least_sources, s.size_ratio, s.bloom_filter, s.most_sources) == (2, 5.5, False, 8) and s.write_options() == {"compression": "zstd"}
+    (tmp_path / "s.json").write_text('{"nothing": 2}')
+    with pytest.raises(ValueError):
+        Settings.load(str(tmp_path / "s.json"), environment={})
+
+
+def test_streaming_source(spark, tmp_path):
+    from palimpsest.streaming import source
+
+    source.register(spark)
+    s = Store(spark, str(tmp_path / "a"), key=T.LongType(), value=T.LongType())
+    for k in range(5):
+        s.put(k, k)
+    kind = T.StructType([T.StructField("batch", T.LongType()), *[T.StructField(f.name, f.dataType) for f in s.schema]])
+    reader = spark.readStream.format("palimpsest_wal").schema(kind).option("path", s.root).option("after", "1")
+    q = reader.load().writeStream.format("memory").queryName("wal_rows").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    q.stop()
+    assert sorted((r.batch, r.key) for r in spark.sql("select * from wal_rows").collect()) == [(k + 1, k) for k in range(1, 5)]
