@@ -13,7 +13,6 @@ identifiers stay null; an empty table gives an empty result; other columns of th
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,9 +29,12 @@ GROUP = 4096
 #: A bin with at most this gap is done after the first pass.
 CLOSED = 16
 #: Words whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 
-_TAIL = re.compile(rb"^(.*[^.,])([.,]+)$", re.S)
+
+def lowered(text: bytes) -> bytes:
+    """ASCII letters in lower case where that can't change the ids: not before combining marks, nor in special tokens."""
+    return text if b"\xcc" in text or b"\xcd" in text or b"<|" in text else text.lower()
 
 
 class WordTokenizer:
@@ -40,7 +42,7 @@ class WordTokenizer:
 
     The vocabulary's normaliser drops white space and its pre-tokenizer never joins what white space separates, so that
     the ids of a text are those of its words one after another; a run of points and commas at a word's end is a
-    pre-token of its own. Each distinct word is thus encoded once per worker.
+    pre-token of its own after a letter or digit. Each distinct word is thus encoded once per worker.
     """
 
     def __init__(self, path: str) -> None:
@@ -49,53 +51,47 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a pre-token
         self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
-    def _encode(self, parts: list[bytes]) -> None:
-        texts = [p.decode("utf-8", "replace") for p in parts]
-        alone = []
-        letters = [(p, t) for p, t in zip(parts, texts, strict=True) if t.isalpha() or alone.append((p, t))]
-        for at in range(0, len(letters), 512):  # words of letters are one pre-token each, so that many are encoded as one text
-            some = letters[at : at + 512]
-            ids = np.array(self.tokenizer.encode(" ".join(t for _, t in some), add_special_tokens=False).ids, "<u4")
-            ends = 4 * (np.flatnonzero(self.closes[ids]) + 1)
+    def _encode(self, words: list[bytes]) -> None:
+        letters = [w for w in words if w.isalpha() or (not w.isascii() and w.decode("utf-8", "replace").isalpha())]
+        alone = list(set(words).difference(letters))
+        for at in range(0, len(letters), 1024):  # words of letters are one pre-token each, so that many are encoded as one text
+            some = letters[at : at + 1024]
+            ids = np.array(self.tokenizer.encode(b" ".join(some).decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.closes[ids]) + 1)).tolist()
             if len(ends) != len(some):  # a letter whose lower case is not a letter
                 alone += some
                 continue
-            raw, begin = ids.tobytes(), 0
-            for (p, _), end in zip(some, ends.tolist(), strict=True):
-                self.parts[p] = raw[begin:end]
-                begin = end
+            raw = ids.tobytes()
+            self.known.update(zip(some, [raw[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
         for at in range(0, len(alone), 4096):
             some = alone[at : at + 4096]
-            found = self.tokenizer.encode_batch_fast([t for _, t in some], add_special_tokens=False)
-            self.parts.update((p, np.array(e.ids, "<u4").tobytes()) for (p, _), e in zip(some, found, strict=True))
+            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
+            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, found, strict=True))
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known.clear()
-        if len(self.parts) + len(words) > REMEMBERED:
-            self.parts.clear()
-        split = {}
-        for w in words:
-            m = _TAIL.match(w)
-            pieces = [m[1], m[2]] if m else [w]
-            split[w] = [p.lower() if p.isascii() and b"<|" not in p else p for p in pieces]
-        self._encode(list({p for ps in split.values() for p in ps if p not in self.parts}))
-        self.known.update((w, b"".join(self.parts[p] for p in ps)) for w, ps in split.items())
+        known = self.known
+        marked = [w for w in words if w[-1] in b".," and len(w) > 1 and w[-2] in b"0123456789abcdefghijklmnopqrstuvwxyz"]
+        plain = words.difference(marked)
+        plain.update((b".", b","), [w[:-1] for w in marked])
+        self._encode(list(plain - known.keys()))
+        marks = {b: known[bytes([b])] for b in b".,"}
+        known.update((w, known[w[:-1]] + marks[w[-1]]) for w in marked)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        lists = [t.split() for t in texts]
-        missing = {w for ws in lists for w in ws if w not in self.known} if len(lists) else set()
-        if missing:
-            self.learn(missing)
-            if len(self.known) < len(missing) or not all(w in self.known for ws in lists for w in ws):
-                self.learn({w for ws in lists for w in ws})
-        known = self.known
-        return [b"".join([known[w] for w in ws]) for ws in lists]
+        lists = [lowered(t).split() for t in texts]
+        words = set().union(*lists)
+        new = words - self.known.keys()
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known.clear()
+            new = words
+        if new:
+            self.learn(new)
+        ids = self.known.__getitem__
+        return [b"".join(map(ids, ws)) for ws in lists]
 
 
 _LOADED: dict[str, WordTokenizer] = {}
