@@ -44,9 +44,9 @@ def cluster_key(words: list[bytes]) -> int:
     return min(h(b" ".join(words[i : i + 3])) for i in range(n)) >> 1
 
 
-def train(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = 1000, rate: float = 0.05, decay: float = 2e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the non-negative risk, by Adam over the whole sample."""
-    d = x.shape[1]
+def train(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = 1000, rate: float = 0.05, spread: float = 4.0) -> tuple[np.ndarray, float]:
+    """Weights and bias that minimise the non-negative risk, by Adam over the whole sample. Weights have a normal prior of this spread."""
+    d, decay = x.shape[1], 1 / (spread**2 * max(int(positive.sum()), 1))
     v, m1, m2 = np.zeros(d + 1), np.zeros(d + 1), np.zeros(d + 1)
     v[-1] = np.log(prior / (1 - prior)) - 1
     xs = np.column_stack([x, np.ones(len(x))]).astype(np.float64)
