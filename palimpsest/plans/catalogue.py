@@ -244,19 +244,30 @@ def merge_routed_by_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.visible(event_log(spark, sf_dir), op)
 
 
-@_query(
-    """, ops AS (SELECT seq AS op_idx, kind, key, value FROM log WHERE seq <= 2000),
+def _batch_sql(where: str) -> str:
+    return f""", ops AS (SELECT seq AS op_idx, kind, key, value FROM log WHERE {where}),
     x AS (SELECT *, max(CASE WHEN kind <> 'M' THEN op_idx END) OVER (PARTITION BY key) AS base FROM ops)
     SELECT key, CASE WHEN count(*) = 1 THEN max(kind) WHEN bool_or(kind <> 'M') THEN 'V' ELSE 'M' END AS kind, CAST(sum(value) AS BIGINT) AS value, CAST(10001 AS BIGINT) AS seq
     FROM x WHERE base IS NULL OR op_idx >= base GROUP BY key"""
-)
-def batch_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = event_log(spark, sf_dir).where("seq <= 2000")
+
+
+def _batch(log: DataFrame) -> DataFrame:
     op = F.when(F.col("kind") == VALUE, "put").when(F.col("kind") == MERGE, "merge").otherwise("delete")
     ops = log.select(F.col("seq").alias("op_idx"), op.alias("op"), "key", "value", F.lit(None).cast("long").alias("expire_ts"))
     return C.collapse_batch(ops, M.SUM, 10_001, NOW).select("key", "kind", "value", "seq")
 
 
+@_query(_batch_sql("seq <= 2000"))
+def batch_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _batch(event_log(spark, sf_dir).where("seq <= 2000"))
+
+
+@_query(_batch_sql("TRUE"))
+def batch_collapse_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole log as one write batch."""
+    return _batch(event_log(spark, sf_dir))
+
+
 # -- flush and compaction
 
 
@@ -330,18 +341,28 @@ def strict_ttl_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.visible(event_log(spark, sf_dir), M.SUM).where(ttl.not_expired(F.col("expire_ts"), F.lit(NOW)))
 
 
-@_query(
-    f"""SELECT seq, CASE seq % 4 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN create_ts + seq * 1000 ELSE seq * 5 END AS expire_ts,
-    CASE WHEN seq % 4 = 0 THEN create_ts + 3600000 END AS default_expire_ts FROM log WHERE seq <= 5000"""
-)
-def ttl_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = event_log(spark, sf_dir).where("seq <= 5000")
+def _resolution_sql(where: str) -> str:
+    return f"""SELECT seq, CASE seq % 4 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN create_ts + seq * 1000 ELSE seq * 5 END AS expire_ts,
+    CASE WHEN seq % 4 = 0 THEN create_ts + 3600000 END AS default_expire_ts FROM log WHERE {where}"""
+
+
+def _resolution(log: DataFrame) -> DataFrame:
     n = F.col("seq") % 4
     kind = F.when(n == 0, "default").when(n == 1, "no_expiry").when(n == 2, "after_ms").otherwise("at_ms")
     value = F.when(n == 2, F.col("seq") * 1000).otherwise(F.col("seq") * 5)
     return log.select("seq", ttl.expire_ts(kind, value, F.col("create_ts")).alias("expire_ts"), F.when(n == 0, ttl.expire_ts(kind, value, F.col("create_ts"), 3_600_000)).alias("default_expire_ts"))
 
 
+@_query(_resolution_sql("seq <= 5000"))
+def ttl_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _resolution(event_log(spark, sf_dir).where("seq <= 5000"))
+
+
+@_query(_resolution_sql("TRUE"))
+def ttl_resolution_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _resolution(event_log(spark, sf_dir))
+
+
 # -- sequence numbers and time
 
 
