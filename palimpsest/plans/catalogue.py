@@ -221,16 +221,17 @@ _MERGES: dict[str, tuple[M.MergeOperator, str]] = {
 }
 
 
-def _merge_query(name: str, op: M.MergeOperator, sql: str) -> None:
+def _merge_query(name: str, op: M.MergeOperator, sql: str, seq: int | None) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return V.visible(event_log(spark, sf_dir), op, SEQ)
+        return V.visible(event_log(spark, sf_dir), op, seq)
 
-    run.__name__ = f"merge_{name}"
-    _query(f1(sql, f"seq <= {SEQ}") + STATE)(run)
+    run.__name__ = f"merge_{name}" if seq else f"merge_{name}_all"
+    _query(f1(sql, f"seq <= {seq}" if seq else "TRUE") + STATE)(run)
 
 
 for _name, (_op, _sql) in _MERGES.items():
-    _merge_query(_name, _op, _sql)
+    _merge_query(_name, _op, _sql, SEQ)
+    _merge_query(_name, _op, _sql, None)
 
 
 @_query(f1(where="key < 100") + "SELECT key, create_ts, expire_ts, seq FROM state")
@@ -238,6 +239,11 @@ def merge_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.visible(event_log(spark, sf_dir), M.SUM, keys=KeyRange(end=excluded(100))).select("key", "create_ts", "expire_ts", "seq")
 
 
+@_query(f1() + "SELECT key, create_ts, expire_ts, seq FROM state")
+def merge_metadata_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.visible(event_log(spark, sf_dir), M.SUM).select("key", "create_ts", "expire_ts", "seq")
+
+
 @_query(f1("CAST(CASE key % 3 WHEN 0 THEN sum(value) WHEN 1 THEN max(value) ELSE min(value) END AS BIGINT)") + STATE)
 def merge_routed_by_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     op = M.routed([(lambda k: k % 3 == 0, M.SUM), (lambda k: k % 3 == 1, M.MAX)], M.MIN)
@@ -557,24 +563,41 @@ def checkpoint_list_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.where(ttl.not_expired(F.col("expire_ts"), F.lit(NOW))).select(F.col("seq").alias("checkpoint_id"), F.col("key").alias("name"), "create_ts", "expire_ts")
 
 
-@_query(
-    """, bounds AS (SELECT unnest([1000, 3000, 5000, 7000, 9000, 10000]) AS bound),
+_BANK_BOUNDS = (1000, 3000, 5000, 7000, 9000, 10000)
+
+
+def _bank_sql(bounds: str) -> str:
+    return f""", bounds AS ({bounds}),
     legs AS (SELECT key, -(value % 100) AS delta, seq FROM log WHERE value IS NOT NULL UNION ALL SELECT (key + 1) % 150 AS key, value % 100 AS delta, seq FROM log WHERE value IS NOT NULL)
     SELECT bound, CAST(sum(delta) AS BIGINT) AS total, count(DISTINCT key) AS accounts FROM bounds JOIN legs ON legs.seq <= bound GROUP BY bound"""
-)
-def bank_total_invariant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Transfers as paired operands: the total is zero at every bound."""
-    log = event_log(spark, sf_dir).where("value is not null")
+
+
+def _bank(log: DataFrame, bounds: list[int]) -> DataFrame:
+    log = log.where("value is not null")
     amount = F.col("value") % 100
     legs = log.select("seq", "create_ts", "expire_ts", F.explode(F.array(F.struct(F.col("key").alias("key"), (-amount).alias("value")), F.struct(((F.col("key") + 1) % 150).alias("key"), amount.alias("value")))).alias("leg"))
     legs = legs.select(F.col("leg.key").alias("key"), F.lit(MERGE).alias("kind"), F.col("leg.value").alias("value"), "seq", "create_ts", "expire_ts")
     out = None
-    for bound in (1000, 3000, 5000, 7000, 9000, 10000):
+    for bound in bounds:
         view = V.visible(legs, M.BALANCE, bound).agg(F.sum("value").alias("total"), F.count(F.lit(1)).alias("accounts")).select(F.lit(bound).alias("bound"), "total", "accounts")
         out = view if out is None else out.unionByName(view)
     return out
 
 
+@_query(_bank_sql(f"SELECT unnest([{', '.join(map(str, _BANK_BOUNDS))}]) AS bound"))
+def bank_total_invariant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transfers as paired operands: the total is zero at every bound."""
+    return _bank(event_log(spark, sf_dir), list(_BANK_BOUNDS))
+
+
+@_query(_bank_sql(f"SELECT unnest([{', '.join(map(str, _BANK_BOUNDS))}]) AS bound UNION SELECT max(seq) FROM log"))
+def bank_total_invariant_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, and at the last sequence number of the log."""
+    log = event_log(spark, sf_dir)
+    last = log.agg(F.max("seq").alias("last")).first().last
+    return _bank(log, sorted({*_BANK_BOUNDS, *([] if last is None else [last])}))
+
+
 # -- codecs
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from palimpsest.plans import catalogue
 
@@ -39,3 +40,22 @@ def test_every_event_is_in_the_batch(spark, big):
     assert {r.key for r in rows} == {k for (k,) in big.sql("select distinct user_id from events").fetchall()}
     last = dict(big.sql("select user_id, arg_max(event_type, event_id) from events group by 1").fetchall())
     assert {r.key for r in rows if r.kind == "T"} == {k for k, t in last.items() if t == "error"}
+
+
+@pytest.mark.parametrize("name", [*(f"merge_{n}_all" for n in catalogue._MERGES), "merge_metadata_all"])
+def test_every_operand_is_folded(spark, big, name):
+    rows = equals_sql(spark, big, name)
+    newest = dict(big.sql("select user_id, max(event_id) + 1 from events group by 1 having arg_max(event_type, event_id) <> 'error'").fetchall())
+    assert {r.key: r.seq for r in rows} == newest and max(newest.values()) > catalogue.SEQ and max(newest) >= 100
+
+
+def test_bank_total_at_the_last_sequence_number(spark, tmp_path):
+    events = spark.read.parquet(f"{SF_DIR}/events.parquet").withColumn("event_id", F.col("event_id") + 2_345)
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    rows = {r.bound: r for r in catalogue.queries()["bank_total_invariant_all"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    expected = con.sql(catalogue.oracle_sql()["bank_total_invariant_all"])
+    got = [tuple(r[c] for c in expected.columns) for r in rows.values() if r.accounts]
+    assert 12_345 in rows and normal(got, expected.columns) == normal(expected.fetchall(), expected.columns)
+    assert {r.total for r in rows.values() if r.accounts} == {0}
