@@ -403,46 +403,82 @@ def tracker_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- transactions: a transaction per forty events, over users
 
 
-def _txns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def _txns(spark: SparkSession, sf_dir: str, wrote: str = "kind <> 'V' and seq % 2 = 0", read: str = "kind = 'V' and seq % 5 = 0") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     log = event_log(spark, sf_dir)
     t = F.floor(F.col("seq") / 40)
     txns = log.groupBy(t.alias("txn_id")).agg(F.min("seq").alias("started_seq"), (F.max("seq") + 25).alias("committed_seq")).withColumn("isolation", F.when(F.col("txn_id") % 2 == 0, "SSI").otherwise("SI"))
-    writes = log.where("kind <> 'V' and seq % 2 = 0").select(t.alias("txn_id"), "key").distinct()
-    reads = log.where("kind = 'V' and seq % 5 = 0").select(t.alias("txn_id"), "key").distinct()
+    writes = log.where(wrote).select(t.alias("txn_id"), "key").distinct()
+    reads = log.where(read).select(t.alias("txn_id"), "key").distinct()
     ranges = txns.select("txn_id", (F.col("txn_id") * 13 % 140).alias("lo"), (F.col("txn_id") * 13 % 140 + 3).alias("hi"), F.lit(False).alias("lo_open"), F.lit(True).alias("hi_open"))
     return txns, writes, reads, ranges
 
 
-_TXN = """, txns AS (SELECT seq // 40 AS txn_id, min(seq) AS started_seq, max(seq) + 25 AS committed_seq, CASE WHEN (seq // 40) % 2 = 0 THEN 'SSI' ELSE 'SI' END AS isolation FROM log GROUP BY seq // 40),
-writes AS (SELECT DISTINCT seq // 40 AS txn_id, key FROM log WHERE kind <> 'V' AND seq % 2 = 0), reads AS (SELECT DISTINCT seq // 40 AS txn_id, key FROM log WHERE kind = 'V' AND seq % 5 = 0),
+def _txn_sql(wrote: str, read: str) -> str:
+    return f""", txns AS (SELECT seq // 40 AS txn_id, min(seq) AS started_seq, max(seq) + 25 AS committed_seq, CASE WHEN (seq // 40) % 2 = 0 THEN 'SSI' ELSE 'SI' END AS isolation FROM log GROUP BY seq // 40),
+writes AS (SELECT DISTINCT seq // 40 AS txn_id, key FROM log WHERE {wrote}), reads AS (SELECT DISTINCT seq // 40 AS txn_id, key FROM log WHERE {read}),
 others AS (SELECT w.txn_id AS other, w.key AS other_key, t.committed_seq AS other_seq FROM writes w JOIN txns t USING (txn_id)),
 ranges AS (SELECT txn_id, txn_id * 13 % 140 AS lo, txn_id * 13 % 140 + 3 AS hi FROM txns) """
 
 
-@_query(_TXN + "SELECT DISTINCT w.txn_id, w.key FROM writes w JOIN txns t USING (txn_id) JOIN others o ON o.other_key = w.key AND o.other_seq > t.started_seq AND o.other <> w.txn_id")
+#: All tombstones and operands write, all values are read.
+_EVERY = ("kind <> 'V'", "kind = 'V'")
+_TXN, _TXN_ALL = _txn_sql("kind <> 'V' AND seq % 2 = 0", "kind = 'V' AND seq % 5 = 0"), _txn_sql(*_EVERY)
+
+
+_WW = "SELECT DISTINCT w.txn_id, w.key FROM writes w JOIN txns t USING (txn_id) JOIN others o ON o.other_key = w.key AND o.other_seq > t.started_seq AND o.other <> w.txn_id"
+_RW = "SELECT DISTINCT w.txn_id, w.key FROM reads w JOIN txns t ON w.txn_id = t.txn_id AND t.isolation = 'SSI' JOIN others o ON o.other_key = w.key AND o.other_seq > t.started_seq AND o.other <> w.txn_id"
+_PHANTOM = "SELECT DISTINCT r.txn_id, r.lo, r.hi FROM ranges r JOIN txns t ON r.txn_id = t.txn_id AND t.isolation = 'SSI' JOIN others o ON o.other_key >= r.lo AND o.other_key < r.hi AND o.other_seq > t.started_seq AND o.other <> r.txn_id"
+_FREE = ", bad AS (SELECT DISTINCT w.txn_id FROM writes w JOIN txns t USING (txn_id) JOIN others o ON o.other_key = w.key AND o.other_seq > t.started_seq AND o.other <> w.txn_id) SELECT txn_id FROM txns WHERE txn_id NOT IN (SELECT txn_id FROM bad)"
+
+
+@_query(_TXN + _WW)
 def txn_ww_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     txns, writes, _, _ = _txns(spark, sf_dir)
     return X.write_conflicts(txns, writes)
 
 
-@_query(_TXN + "SELECT DISTINCT w.txn_id, w.key FROM reads w JOIN txns t ON w.txn_id = t.txn_id AND t.isolation = 'SSI' JOIN others o ON o.other_key = w.key AND o.other_seq > t.started_seq AND o.other <> w.txn_id")
+@_query(_TXN + _RW)
 def txn_rw_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     txns, writes, reads, _ = _txns(spark, sf_dir)
     return X.read_conflicts(txns, reads, writes)
 
 
-@_query(_TXN + "SELECT DISTINCT r.txn_id, r.lo, r.hi FROM ranges r JOIN txns t ON r.txn_id = t.txn_id AND t.isolation = 'SSI' JOIN others o ON o.other_key >= r.lo AND o.other_key < r.hi AND o.other_seq > t.started_seq AND o.other <> r.txn_id")
+@_query(_TXN + _PHANTOM)
 def txn_phantom_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     txns, writes, _, ranges = _txns(spark, sf_dir)
     return X.phantom_conflicts(txns, ranges, writes, width=8)
 
 
-@_query(_TXN + ", bad AS (SELECT DISTINCT w.txn_id FROM writes w JOIN txns t USING (txn_id) JOIN others o ON o.other_key = w.key AND o.other_seq > t.started_seq AND o.other <> w.txn_id) SELECT txn_id FROM txns WHERE txn_id NOT IN (SELECT txn_id FROM bad)")
+@_query(_TXN + _FREE)
 def txn_committable(spark: SparkSession, sf_dir: str) -> DataFrame:
     txns, writes, _, _ = _txns(spark, sf_dir)
     return X.committable(txns, X.write_conflicts(txns, writes)).select("txn_id")
 
 
+@_query(_TXN_ALL + _WW)
+def txn_ww_conflicts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    txns, writes, _, _ = _txns(spark, sf_dir, *_EVERY)
+    return X.write_conflicts(txns, writes)
+
+
+@_query(_TXN_ALL + _RW)
+def txn_rw_conflicts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    txns, writes, reads, _ = _txns(spark, sf_dir, *_EVERY)
+    return X.read_conflicts(txns, reads, writes)
+
+
+@_query(_TXN_ALL + _PHANTOM)
+def txn_phantom_conflicts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    txns, writes, _, ranges = _txns(spark, sf_dir, *_EVERY)
+    return X.phantom_conflicts(txns, ranges, writes, width=8)
+
+
+@_query(_TXN_ALL + _FREE)
+def txn_committable_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    txns, writes, _, _ = _txns(spark, sf_dir, *_EVERY)
+    return X.committable(txns, X.write_conflicts(txns, writes)).select("txn_id")
+
+
 # -- segments, projection, union
 
 
@@ -483,13 +519,22 @@ def overlap_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bounds.join(met, "name", "left").select("name", F.coalesce("overlaps", F.lit(False)).alias("overlaps"))
 
 
-_BOUNDS = ", f AS (SELECT seq // 50 AS f, min(key) AS lo, max(key) AS hi FROM log WHERE key % 3 = 0 GROUP BY 1)"
+def _depth_sql(where: str) -> str:
+    return f", f AS (SELECT seq // 50 AS f, min(key) AS lo, max(key) AS hi FROM log WHERE {where} GROUP BY 1)" + ", e AS (SELECT DISTINCT lo AS at FROM f) SELECT max(n) AS depth FROM (SELECT (SELECT count(*) FROM f WHERE f.lo <= e.at AND f.hi >= e.at) AS n FROM e)"
+
+
+def _depth(log: DataFrame) -> DataFrame:
+    return G.overlap_depth(log.groupBy(F.floor(F.col("seq") / 50)).agg(F.min("key").alias("lo"), F.max("key").alias("hi")))
 
 
-@_query(_BOUNDS + ", e AS (SELECT DISTINCT lo AS at FROM f) SELECT max(n) AS depth FROM (SELECT (SELECT count(*) FROM f WHERE f.lo <= e.at AND f.hi >= e.at) AS n FROM e)")
+@_query(_depth_sql("key % 3 = 0"))
 def l0_overlap_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = event_log(spark, sf_dir).where("key % 3 = 0").groupBy(F.floor(F.col("seq") / 50)).agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
-    return G.overlap_depth(files)
+    return _depth(event_log(spark, sf_dir).where("key % 3 = 0"))
+
+
+@_query(_depth_sql("TRUE"))
+def l0_overlap_depth_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _depth(event_log(spark, sf_dir))
 
 
 # -- inspection

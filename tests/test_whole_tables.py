@@ -59,3 +59,24 @@ def test_bank_total_at_the_last_sequence_number(spark, tmp_path):
     got = [tuple(r[c] for c in expected.columns) for r in rows.values() if r.accounts]
     assert 12_345 in rows and normal(got, expected.columns) == normal(expected.fetchall(), expected.columns)
     assert {r.total for r in rows.values() if r.accounts} == {0}
+
+
+@pytest.mark.parametrize("name", ["txn_ww_conflicts", "txn_rw_conflicts", "txn_phantom_conflicts"])
+def test_every_write_and_read_meets(spark, big, name):
+    whole, thinned = ({tuple(r) for r in rows} for rows in (equals_sql(spark, big, f"{name}_all"), equals_sql(spark, big, name)))
+    assert whole > thinned
+
+
+def test_committable_sees_every_write(spark, big, tmp_path):
+    equals_sql(spark, big, "txn_committable_all")
+    odd = F.col("id").isin(40, 84)  # sequence numbers 41 and 85, in transactions 1 and 2
+    events = spark.range(160).select(F.col("id").alias("event_id"), F.timestamp_seconds("id").alias("ts"), F.when(odd, 7).otherwise(F.col("id") + 100).alias("user_id"), F.when(odd, "error").otherwise("view").alias("event_type"), F.lit(1.0).alias("value"))
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    free = {n: {r.txn_id for r in catalogue.queries()[n](spark, str(tmp_path)).collect()} for n in ("txn_committable_all", "txn_committable")}
+    assert free == {"txn_committable_all": {0, 3, 4}, "txn_committable": {0, 1, 2, 3, 4}}
+
+
+def test_overlap_depth_counts_every_key(spark, big):
+    files = big.sql("select min(user_id), max(user_id) from events group by (event_id + 1) // 50").fetchall()
+    deepest = max(sum(lo <= at <= hi for lo, hi in files) for at, _ in files)
+    assert [r.depth for r in equals_sql(spark, big, "l0_overlap_depth_all")] == [deepest]
