@@ -13,14 +13,15 @@ def listing(log: DataFrame, segment: str = "segment") -> DataFrame:
     return log.groupBy(segment).agg(F.count(F.lit(1)).alias("versions"), F.min("key").alias("min_key"), F.max("key").alias("max_key"), F.max("seq").alias("last_seq"))
 
 
-def antichain_violations(prefixes: DataFrame, column: str = "prefix", longest: int = 64) -> DataFrame:
+def antichain_violations(prefixes: DataFrame, column: str = "prefix") -> DataFrame:
     """outer, inner: segment prefixes of which one is a proper prefix of the other.
 
-    Each prefix is expanded into its own proper prefixes, which meet the others in an equi-join.
+    Each prefix is cut to the shorter lengths that occur, and the cuts meet the others in an equi-join.
     """
     p = prefixes.select(F.col(column).alias("inner")).distinct()
-    longer = p.where(F.char_length("inner") > 1)
-    cut = longer.withColumn("outer", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.char_length("inner") - 1, F.lit(longest))), lambda n: F.substring("inner", F.lit(1), n))))
+    lengths = sorted(r[0] for r in p.where("inner is not null").select(F.char_length("inner")).distinct().collect())  # at most the longest prefix in rows
+    shorter = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n < F.char_length("inner"))
+    cut = p.withColumn("outer", F.explode(F.transform(shorter, lambda n: F.substring("inner", F.lit(1), n))))
     return cut.join(p.select(F.col("inner").alias("outer")), "outer", "left_semi").select("outer", "inner")
 
 
