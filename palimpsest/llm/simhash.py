@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import materialize, partitions, rows_of, tune
 from .graph import contract
@@ -292,8 +293,8 @@ def links(distinct: DataFrame, parts: list[list[int]], thresholds: list[int], di
     return ordered.mapInArrow(check, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
-    """doc_id, fingerprint (16 hexadecimal digits), component_id (smallest identifier reachable) of every row."""
+def _labelled(docs: DataFrame, id_col: str, text_col: str, distance: int) -> DataFrame:
+    """doc_id, fp, root (one fingerprint of the component), component_id of every row."""
     rows = materialize(fingerprints(docs, id_col, text_col))
     distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
     n = distinct.count()
@@ -303,16 +304,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         roots = contract(links(distinct.select("fp"), parts, thresholds, distance))
     else:
         roots = None
-    label = distinct.select("fp", F.col("first").alias("component_id"))
+    label = distinct.select("fp", F.col("fp").alias("root"), F.col("first").alias("component_id"))
     if roots is not None:
         found = materialize(distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
         least = materialize(found.groupBy("root").agg(F.min("first").alias("component_id")))
-        label = materialize(found.join(least, "root").select("fp", "component_id"))
-    return out.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+        label = materialize(found.join(least, "root").select("fp", "root", "component_id"))
+    return out.join(label, "fp")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
+    """doc_id, fingerprint (16 hexadecimal digits), component_id (smallest identifier reachable) of every row."""
+    return _labelled(docs, id_col, text_col, distance).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
-    """The rows whose identifier names their component, with all their columns. Rows without an identifier stay."""
-    found = near_duplicates(docs, id_col, text_col, distance)
+    """One row of each component, with all its columns: of the rows whose identifier names it, that with the smallest
+    fingerprint and text. Rows without an identifier stay.
+
+    A row that shares its identifier with others is decided by identifier and fingerprint.
+    """
+    found = materialize(_labelled(docs, id_col, text_col, distance).where("doc_id is not null"))
     gone = materialize(found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")))
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    repeated = materialize(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_repeated")))
+    if repeated.isEmpty():
+        return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    columns, key = docs.columns, docs[id_col].cast("long")
+    single = docs.join(repeated.unionAll(gone), key == F.col("_repeated"), "left_anti")
+    shared = docs.join(repeated, key == F.col("_repeated"), "left_semi")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in rows_of(batches, text_col):
+            fps = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps)], names=[*columns, "_fp"])
+
+    marked = shared.mapInArrow(each, StructType([*docs.schema.fields, StructField("_fp", LongType())]))
+    named = found.where("component_id = doc_id").select(F.col("doc_id").alias("_named"), F.col("fp").alias("_named_fp"), F.col("root").alias("_root")).distinct()
+    kept = marked.join(named, (marked[id_col].cast("long") == named["_named"]) & (marked["_fp"] == named["_named_fp"]))
+    best = kept.groupBy("_root").agg(F.min_by(F.struct(*columns), F.struct("_fp", text_col)).alias("_row"))
+    return single.unionByName(best.select(*(F.col("_row")[c].alias(c) for c in columns)))
