@@ -80,3 +80,18 @@ def test_overlap_depth_counts_every_key(spark, big):
     files = big.sql("select min(user_id), max(user_id) from events group by (event_id + 1) // 50").fetchall()
     deepest = max(sum(lo <= at <= hi for lo, hi in files) for at, _ in files)
     assert [r.depth for r in equals_sql(spark, big, "l0_overlap_depth_all")] == [deepest]
+
+
+def test_tracker_at_the_default_interval(spark, big):
+    rows = equals_sql(spark, big, "tracker_sampling_60s")
+    assert len(rows) > 720 and min(b.ts - a.ts for a, b in zip(rows, rows[1:])) >= 60
+
+
+def test_tracker_beyond_its_capacity(spark, tmp_path):
+    events = spark.range(17_000).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id") * 61).alias("ts"), F.lit(1).alias("user_id"), F.lit("view").alias("event_type"), F.lit(1.0).alias("value"))
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    rows = catalogue.queries()["tracker_sampling_60s"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    found = con.sql(catalogue.oracle_sql()["tracker_sampling_60s"]).fetchall()
+    assert 4_096 < len(rows) <= 8_192 and sorted((r.seq, r.ts) for r in rows) == sorted(found)
