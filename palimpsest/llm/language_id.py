@@ -1,18 +1,19 @@
 """Language identification with a bidirectional gated recurrent network over bytes.
 
-The network reads the bytes of each word, framed by spaces, in both directions and labels every position with a
-language distribution; a document's distribution is the mean over all positions of its whole text. It is trained in
-numpy by backpropagation through time on a bounded sample of labelled documents. The state starts anew at each word, so
-equal words have equal outputs: a worker computes each distinct word once and remembers it, which changes no result.
+The network reads the bytes of a text (A-Z in lower case, nothing left out) in both directions and labels every position
+with a language distribution; a document's distribution is the mean over all positions of its whole text. Texts are read
+in windows of at most CORE positions, each with MARGIN bytes of the text before and after it, so that the states are
+carried over word borders and a window's edge has the same context as its middle, up to MARGIN bytes; every position is
+labelled in exactly one window. The network is trained in numpy by backpropagation through time on windows drawn from
+whole texts of a bounded sample of labelled documents.
 
 Defined results: `und` with score 0 for null texts and texts without a letter; without any labelled document every text is
-`und`; repeated rows are labelled each; ties go to the language that sorts first; an empty table gives an empty
-result; other columns are ignored.
+`und`; repeated rows are labelled each; a null identifier is predicted like any other and never learnt from; ties go to
+the language that sorts first; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,109 +21,126 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_fold, rows_of, tune
+from .common import is_fold, materialize, rows_of, tune
 
-#: The training sample: documents per language (about), words per document (evenly spaced), at most.
-DOCUMENTS, WORDS = 150, 200
-#: Bytes of a word that the network reads at once; longer words are read in pieces.
-SPAN = 30
-#: Words whose outputs a worker remembers.
-REMEMBERED = 300_000
+#: The training sample: documents per language (about), and windows per language drawn from all of their windows.
+DOCUMENTS, WINDOWS = 150, 4000
+#: Positions that a window labels, and bytes that it reads on either side of them.
+CORE, MARGIN = 224, 24
+#: Positions of a training window.
+TRAINED = 64
+#: Windows that are read at once.
+ROWS = 1024
 UNKNOWN = "und"
 
-#: Letters in lower case, all bytes beyond ASCII stay, the rest separates words.
-_TOKENS = bytes(b if b > 127 or chr(b).islower() else b + 32 if chr(b).isupper() and b < 128 else 32 for b in range(256))
-_LETTER = re.compile(r"[^\W\d_]")
-
-
-def words_of(text: bytes) -> list[bytes]:
-    return text.translate(_TOKENS).split()
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def has_letter(text: bytes) -> bool:
-    return _LETTER.search(text.decode("utf-8", "replace")) is not None
+    return any(c.isalpha() for c in text.decode("utf-8", "replace"))
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def _tanh_gates(a: np.ndarray) -> np.ndarray:
+    """The logistic function of twice the argument, in place."""
+    np.tanh(a, out=a)
+    a *= 0.5
+    a += 0.5
+    return a
 
 
 class Network:
-    """Two gated recurrent layers, one in each direction, and a softmax at every position."""
+    """Two gated recurrent layers, one in each direction, and a softmax at every position. Arrays are (units, windows)."""
 
     def __init__(self, classes: int, hidden: int = 16, seed: int = 5) -> None:
         rng = np.random.default_rng(seed)
-        h, self.h = hidden, hidden
-        f = lambda *s: rng.normal(0, s[0] ** -0.5 if len(s) > 1 and s[0] < 256 else 0.3, s).astype(np.float32)
-        self.p = {"x0": f(256, 3 * h), "u0": f(h, 3 * h), "x1": f(256, 3 * h), "u1": f(h, 3 * h), "v": f(2 * h, classes), "c": np.zeros(classes, np.float32)}
-
-    def _run(self, x: np.ndarray, live: np.ndarray, k: int, keep: list | None) -> np.ndarray:
-        """States of one direction: (words, positions, hidden). Where a word has ended, the state stays as it was."""
-        h, n = self.h, len(x)
-        table, u = self.p[f"x{k}"], self.p[f"u{k}"]
-        s = np.zeros((n, h), np.float32)
-        out = np.zeros((n, x.shape[1], h), np.float32)
-        for t in range(x.shape[1]) if k == 0 else range(x.shape[1] - 1, -1, -1):
-            g, a = table[x[:, t]], s @ u
-            rz = _sigmoid(g[:, : 2 * h] + a[:, : 2 * h])
-            r, z = rz[:, :h], rz[:, h:]
-            c = np.tanh(g[:, 2 * h :] + r * a[:, 2 * h :])
-            m = live[:, t, None]
-            new = np.where(m, (1 - z) * c + z * s, s)
+        self.h = h = hidden
+        f = lambda scale, *s: rng.normal(0, scale, s).astype(np.float32)
+        self.p = {"c": np.zeros((classes, 1), np.float32)}
+        for k in (0, 1):
+            self.p |= {f"x{k}": f(0.3, 3 * h, 256), f"u{k}": f(h**-0.5, 3 * h, h), f"v{k}": f((2 * h) ** -0.5, classes, h)}
+
+    def _run(self, x: np.ndarray, live: np.ndarray, k: int, keep: list | None = None) -> np.ndarray:
+        """Logits' part of one direction: (positions, classes, windows). x: (positions, windows). Where no text is, the state is zero."""
+        h, n = self.h, x.shape[1]
+        kind = self.p["c"].dtype
+        half = np.concatenate([np.full((2 * h, 1), 0.5, kind), np.ones((h, 1), kind)])
+        table, u, v = self.p[f"x{k}"] * half, self.p[f"u{k}"] * half, self.p[f"v{k}"]
+        s = np.zeros((h, n), kind)
+        out = np.empty((len(x), len(v), n), kind)
+        g, a = np.empty((3 * h, n), kind), np.empty((3 * h, n), kind)
+        whole = live.all(1)
+        for t in range(len(x)) if k == 0 else range(len(x) - 1, -1, -1):
+            np.take(table, x[t], axis=1, out=g, mode="clip")
+            np.matmul(u, s, out=a)
+            g[: 2 * h] += a[: 2 * h]
+            rz = _tanh_gates(g[: 2 * h])
+            old = a[2 * h :].copy() if keep is not None else None
+            c = a[2 * h :]
+            c *= rz[:h]
+            c += g[2 * h :]
+            np.tanh(c, out=c)
+            if keep is not None:
+                keep.append((t, s.copy(), rz[:h].copy(), rz[h:].copy(), c.copy(), old))
+            s -= c
+            s *= rz[h:]
+            s += c
+            if not whole[t]:
+                s *= live[t]
+            np.matmul(v, s, out=out[t])
             if keep is not None:
-                keep.append((t, s, r, z, c, a[:, 2 * h :]))
-            s = new
-            out[:, t] = s
+                keep[-1] = (*keep[-1], s.copy())
         return out
 
-    def logits(self, x: np.ndarray, live: np.ndarray, keep: tuple[list, list] | None = None) -> tuple[np.ndarray, np.ndarray]:
-        states = np.concatenate([self._run(x, live, k, keep[k] if keep else None) for k in (0, 1)], axis=2)
-        return states @ self.p["v"] + self.p["c"], states
+    def labels(self, x: np.ndarray, live: np.ndarray, keep: tuple[list, list] | None = None) -> np.ndarray:
+        """The distribution at every position: (positions, classes, windows)."""
+        q = self._run(x, live, 0, keep[0] if keep else None)
+        q += self._run(x, live, 1, keep[1] if keep else None)
+        q += self.p["c"]
+        q -= q.max(1, keepdims=True)
+        np.exp(q, out=q)
+        q /= q.sum(1, keepdims=True)
+        return q
 
     def gradients(self, x: np.ndarray, live: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean cross-entropy over the positions and its gradients, by backpropagation through time."""
+        """Mean cross-entropy over the positions and its gradients, by backpropagation through time. x, live: (positions, windows)."""
         keep: tuple[list, list] = ([], [])
-        logits, states = self.logits(x, live, keep)
-        e = np.exp(logits - logits.max(2, keepdims=True))
-        q = e / e.sum(2, keepdims=True)
-        n = live.sum()
-        loss = -float((np.log(q[np.arange(len(x))[:, None], np.arange(x.shape[1]), y[:, None]] + 1e-9) * live).sum() / n)
-        d = q.copy()
-        d[np.arange(len(x))[:, None], np.arange(x.shape[1]), y[:, None]] -= 1
-        d *= (live / n)[:, :, None]
-        grads = {"v": np.tensordot(states, d, ((0, 1), (0, 1))), "c": d.sum((0, 1))}
-        ds, h = d @ self.p["v"].T, self.h
+        q = self.labels(x, live, keep)
+        n, at = live.sum(), np.arange(len(y))
+        loss = -float((np.log(q[:, y, at] + 1e-9) * live).sum() / n)
+        d = q
+        d[:, y, at] -= 1
+        d *= (live / n)[:, None, :]
+        h, grads = self.h, {"c": d.sum((0, 2))[:, None]}
         for k in (0, 1):
-            u, gx, gu = self.p[f"u{k}"], np.zeros_like(self.p[f"x{k}"]), np.zeros_like(self.p[f"u{k}"])
-            back = np.zeros((len(x), h), np.float32)
-            for t, s, r, z, c, an in reversed(keep[k]):
-                m = live[:, t, None]
-                total = back + ds[:, t, k * h : (k + 1) * h]
-                step = np.where(m, total, 0)
-                dc = step * (1 - z) * (1 - c * c)
-                dz = step * (s - c) * z * (1 - z)
-                dr = dc * an * r * (1 - r)
-                da = np.concatenate([dr, dz, dc * r], axis=1)
-                np.add.at(gx, x[:, t], np.concatenate([dr, dz, dc], axis=1))
-                gu += s.T @ da
-                back = np.where(m, step * z + da @ u.T, total)
-            grads |= {f"x{k}": gx, f"u{k}": gu}
+            u, v = self.p[f"u{k}"], self.p[f"v{k}"]
+            gu, gv, das = np.zeros_like(u), np.zeros_like(v), []
+            back = np.zeros((h, x.shape[1]), u.dtype)
+            for t, s, r, z, c, a, new in reversed(keep[k]):
+                gv += d[t] @ new.T
+                total = (back + v.T @ d[t]) * live[t]
+                dc = total * (1 - z) * (1 - c * c)
+                dz = total * (s - c) * z * (1 - z)
+                dr = dc * a * r * (1 - r)
+                da = np.concatenate([dr, dz, dc * r])
+                gu += da @ s.T
+                das.append((t, np.concatenate([dr, dz, dc])))
+                back = total * z + u.T @ da
+            order = np.concatenate([x[t] for t, _ in das]).astype(np.int64)
+            flat = np.concatenate([g for _, g in das], axis=1)
+            gx = np.stack([np.bincount(order, row, 256) for row in flat]).astype(u.dtype)
+            grads |= {f"x{k}": gx, f"u{k}": gu, f"v{k}": gv}
         return loss, grads
 
 
-def framed(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Words of at most SPAN bytes as a matrix of bytes, framed by spaces, and which cells are part of a word."""
-    width = max(map(len, words)) + 2
-    x = np.frombuffer(b"".join((b" " + w + b" ").ljust(width, b"\0") for w in words), np.uint8).reshape(len(words), width)
-    lengths = np.array([len(w) + 2 for w in words])
-    return x, np.arange(width) < lengths[:, None]
+def matrix(windows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Windows as columns of bytes, and which cells hold text."""
+    width = max(map(len, windows))
+    x = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in windows), np.uint8).reshape(len(windows), width)
+    live = np.arange(width)[:, None] < np.array([len(w) for w in windows])
+    return np.ascontiguousarray(x.T).astype(np.intp), live.astype(np.float32)
 
 
-def spans(word: bytes) -> list[bytes]:
-    return [word[i : i + SPAN] for i in range(0, len(word), SPAN)]
-
-
-def train(words: list[bytes], y: np.ndarray, classes: int, steps: int = 500, batch: int = 256, rate: float = 0.01) -> Network:
+def train(windows: list[bytes], y: np.ndarray, classes: int, steps: int = 320, batch: int = 128, rate: float = 0.015) -> Network:
     net = Network(classes)
     rng = np.random.default_rng(1)
     m1 = {k: np.zeros_like(v) for k, v in net.p.items()}
@@ -130,7 +148,7 @@ def train(words: list[bytes], y: np.ndarray, classes: int, steps: int = 500, bat
     by_class = [np.flatnonzero(y == k) for k in range(classes)]
     for t in range(1, steps + 1):
         pick = np.concatenate([rng.choice(own, -(-batch // classes)) for own in by_class if len(own)])
-        x, live = framed([words[i] for i in pick])
+        x, live = matrix([windows[i] for i in pick])
         _, grads = net.gradients(x, live, y[pick])
         norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
         scale, lr = min(1.0, 1 / (norm + 1e-9)), rate * (1 - 0.9 * t / steps)
@@ -142,67 +160,53 @@ def train(words: list[bytes], y: np.ndarray, classes: int, steps: int = 500, bat
     return net
 
 
-def word_outputs(net: Network, words: list[bytes]) -> np.ndarray:
-    """Sums of the position distributions of each word, and the number of its positions in the last column."""
-    parts = [(i, p) for i, w in enumerate(words) for p in spans(w)]
-    parts.sort(key=lambda x: len(x[1]))
-    out = np.zeros((len(words), len(net.p["c"]) + 1), np.float32)
-    for at in range(0, len(parts), 2048):
-        some = parts[at : at + 2048]
-        x, live = framed([p for _, p in some])
-        logits, _ = net.logits(x, live)
-        e = np.exp(logits - logits.max(2, keepdims=True))
-        q = (e / e.sum(2, keepdims=True)) * live[:, :, None]
-        np.add.at(out, [i for i, _ in some], np.column_stack([q.sum(1), live.sum(1)]))
-    return out
-
-
-class Reader:
-    """Document distributions from remembered word outputs."""
-
-    def __init__(self, net: Network) -> None:
-        self.net, self.at, self.table = net, {}, np.zeros((0, len(net.p["c"]) + 1), np.float32)
-
-    def pooled(self, texts: list[bytes]) -> np.ndarray:
-        lists = [words_of(t) for t in texts]
-        new = {w for ws in lists for w in ws if w not in self.at}
-        if len(self.at) + len(new) > REMEMBERED:
-            self.at, self.table = {}, self.table[:0]
-            new = {w for ws in lists for w in ws}
-        if new:
-            fresh = sorted(new)
-            self.at.update((w, len(self.table) + k) for k, w in enumerate(fresh))
-            self.table = np.concatenate([self.table, word_outputs(self.net, fresh)])
-        out = np.zeros((len(texts), self.table.shape[1] - 1))
-        at = self.at
-        for k, ws in enumerate(lists):
-            if ws:
-                total = self.table[np.fromiter((at[w] for w in ws), np.int64, len(ws))].sum(0, dtype=np.float64)
-                out[k] = total[:-1] / total[-1]
-        return out
-
-
-def learn(docs: DataFrame, documents: int = DOCUMENTS, words: int = WORDS) -> tuple[list[str], Network | None]:
+def pooled(net: Network, texts: list[bytes], core: int = CORE, margin: int = MARGIN, rows: int = ROWS) -> np.ndarray:
+    """Mean distribution over all positions of each text; zeros for an empty one."""
+    classes = len(net.p["c"])
+    out = np.zeros((len(texts), classes))
+    cuts = [(i, at) for i, t in enumerate(texts) for at in range(0, len(t), core)]
+    size = lambda c: min(len(texts[c[0]]), c[1] + core + margin) - max(0, c[1] - margin)
+    cuts.sort(key=size)  # windows of like length are read together; no result depends on its neighbours
+    for k in range(0, len(cuts), rows):
+        some = cuts[k : k + rows]
+        x, live = matrix([texts[i][max(0, at - margin) : at + core + margin].translate(_LOWER) for i, at in some])
+        lead = np.array([min(at, margin) for _, at in some])
+        stop = lead + np.array([min(core, len(texts[i]) - at) for i, at in some])
+        place = np.arange(len(x))[:, None]
+        mine = ((place >= lead) & (place < stop)).astype(np.float32)
+        q = np.einsum("tcn,tn->nc", net.labels(x, live), mine)
+        np.add.at(out, [i for i, _ in some], q)
+    lengths = np.array([max(1, len(t)) for t in texts], float)
+    return out / lengths[:, None]
+
+
+def learn(docs: DataFrame, documents: int = DOCUMENTS, windows: int = WINDOWS) -> tuple[list[str], Network | None]:
     """docs: doc_id, text, lang of the training fold, lang never null."""
-    counts = {r.lang: r["count"] for r in docs.groupBy("lang").count().collect()}
+    counts = {r.lang: r["count"] for r in docs.groupBy("lang").count().collect()}  # one row a language
     names = sorted(counts)
     if not names:
         return [], None
     share = F.create_map(*[F.lit(v) for n in names for v in (n, int((1 << 30) * min(1.0, documents / counts[n])))])
     chosen = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < share[F.col("lang")])
 
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in rows_of(batches, "text"):
-            lists = [words_of(t) for t in texts]
-            some = [b" ".join(ws[:: -(-len(ws) // words)]) if ws else b"" for ws in lists]
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(some, pa.binary())], names=["lang", "words"])
-
-    rows = sorted((r.lang, bytes(r.words)) for r in chosen.select("lang", "text").mapInArrow(sample, "lang string, words binary").limit(3 * documents * len(names)).collect())
-    at = {n: k for k, n in enumerate(names)}
-    pairs = [(p, at[lang]) for lang, ws in rows for w in ws.split() for p in spans(w)]
-    if not pairs:
+            found = [(lang, i, t[at : at + TRAINED].translate(_LOWER)) for lang, i, t in zip(batch.column("lang").to_pylist(), batch.column("doc_id").to_pylist(), texts, strict=True) if has_letter(t) for at in range(0, len(t), TRAINED)]
+            if found:
+                c = list(zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c[0]), pa.array(c[1], pa.int64()), pa.array(c[2], pa.binary())], names=["lang", "doc_id", "part"])
+
+    parts = materialize(chosen.select("lang", "doc_id", "text").mapInArrow(cut, "lang string, doc_id long, part binary"))
+    sizes = {r.lang: r["count"] for r in parts.groupBy("lang").count().collect()}
+    if not sizes:
+        return [], None
+    share = F.create_map(*[F.lit(v) for n, k in sizes.items() for v in (n, int((1 << 30) * min(1.0, windows / k)))])
+    drawn = parts.where(F.pmod(F.xxhash64("doc_id", "part", F.lit(7)), F.lit(1 << 30)) < share[F.col("lang")])
+    rows = sorted((r.lang, bytes(r.part)) for r in drawn.select("lang", "part").collect())  # about `windows` a language
+    if not rows:
         return [], None
-    return names, train([w for w, _ in pairs], np.array([k for _, k in pairs]), len(names))
+    at = {n: k for k, n in enumerate(names)}
+    return names, train([p for _, p in rows], np.array([at[n] for n, _ in rows]), len(names))
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -212,12 +216,10 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     names, net = learn(base.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~is_fold("doc_id", 4, 2)))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(net) if net else None
         for batch, texts in rows_of(batches, "text"):
             found = [(UNKNOWN, 0.0)] * len(texts)
-            if reader:
-                q = reader.pooled(texts)
-                found = [(names[int(p.argmax())], min(1.0, float(p.max()))) if p.any() and has_letter(t) else f for p, t, f in zip(q, texts, found, strict=True)]
+            if net:
+                found = [(names[int(p.argmax())], min(1.0, float(p.max()))) if has_letter(t) else f for p, t, f in zip(pooled(net, texts), texts, found, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([f[0] for f in found]), pa.array([f[1] for f in found])], names=["doc_id", "lang_pred", "score"])
 
     out = base.select("doc_id", "text").mapInArrow(predict, "doc_id long, lang_pred string, score double")
