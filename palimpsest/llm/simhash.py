@@ -8,8 +8,10 @@ the thresholds are chosen by dynamic programming on the number of candidates eac
 estimated from pairs formed over all fingerprints. Every fingerprint is stored under its value of each part used and
 probes the larger values within the threshold; what meets under a value is verified on all 64 bits.
 
-A value's members are verified in blocks: crowded values are dealt out to pairs of blocks, so that no task holds
-a whole crowd, and every task hands on a spanning forest of the links that it finds, never all pairs. Components are
+A value's members are verified in blocks: crowded values are dealt out to pairs of blocks of which one at least is stored
+there, so that no task holds a whole crowd (values that are only probed have no links and go), and every task hands on a
+spanning forest of the links that it finds, never all pairs. Comparing a crowd of n stored members costs n * n / 2 whatever
+the method; the plan is chosen so that crowds are few. Components are
 found by contraction (graph.py) over distinct fingerprints; copies never multiply.
 
 Defined results: null and empty texts have fingerprint zero, which links like any other; a null identifier is
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import materialize, partitions, rows_of, tune
+from .common import fresh, materialize, partitions, rows_of, tune
 from .graph import contract
 
 SEED, SHINGLE, DISTANCE = 42, 4, 4
@@ -248,15 +250,20 @@ def links(distinct: DataFrame, parts: list[list[int]], thresholds: list[int], di
 
     kind = "part int, value long, fp long, home boolean"
     dealt = distinct.mapInArrow(deal, kind)
-    crowded = materialize(dealt.groupBy("part", "value").agg(F.count(F.lit(1)).alias("members"), F.count_if("home").alias("homes")).where((F.col("members") > block) & (F.col("homes") > 0)).select("part", "value", F.ceil(F.col("members") / block).cast("int").alias("blocks")))
+    counts = dealt.groupBy("part", "value").agg(F.count(F.lit(1)).alias("members"), F.count_if("home").alias("homes")).where(F.col("members") > block)
+    blocks = lambda c: F.ceil(c / block).cast("int")
+    crowded = materialize(counts.select("part", "value", blocks(F.col("homes")).alias("own"), blocks(F.col("members") - F.col("homes")).alias("others")))
     if crowded.isEmpty():
         spread = dealt.withColumns({"x": F.lit(0), "y": F.lit(0)})
     else:
-        # Blocks x <= y of a crowded value: a member of block k goes to every pair that holds k.
-        mine = F.pmod(F.xxhash64("fp", F.lit(5)), F.coalesce("blocks", F.lit(1))).cast("int")
-        spread = dealt.join(crowded, ["part", "value"], "left").withColumn("k", mine)
-        spread = spread.withColumn("o", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
-        spread = spread.select("part", "value", "fp", "home", F.least("k", "o").alias("x"), F.greatest("k", "o").alias("y"))
+        # A crowded value without a home has no links and goes. Of the others, every pair of blocks of which one at least
+        # is at home is a task: a member at home goes to all pairs that hold its block, a probe to all blocks at home.
+        met = dealt.join(crowded, ["part", "value"], "left").where("own is null or own > 0")
+        among = lambda n: F.pmod(F.xxhash64("fp", F.lit(5)), F.greatest(n, F.lit(1))).cast("int")
+        own, others = F.col("own"), F.col("others")
+        met = met.withColumn("k", F.when(own.isNull(), 0).when(F.col("home"), among(own)).otherwise(own + among(others)))
+        met = met.withColumn("o", F.explode(F.sequence(F.lit(0), F.when(own.isNull(), 0).when(F.col("home"), own + others - 1).otherwise(own - 1))))
+        spread = met.select("part", "value", "fp", "home", F.least("k", "o").alias("x"), F.greatest("k", "o").alias("y"))
     n = partitions(distinct.sparkSession)
     ordered = spread.repartition(n, "part", "value", "x", "y").sortWithinPartitions("part", "value", "x", "y")
 
@@ -324,21 +331,24 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     A row that shares its identifier with others is decided by identifier and fingerprint.
     """
     found = materialize(_labelled(docs, id_col, text_col, distance).where("doc_id is not null"))
-    gone = materialize(found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")))
-    repeated = materialize(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_repeated")))
+    gone_id, repeated_id = fresh("_gone", docs.columns), fresh("_repeated", docs.columns)
+    gone = materialize(found.where("component_id <> doc_id").select(F.col("doc_id").alias(gone_id)))
+    repeated = materialize(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(repeated_id)))
     if repeated.isEmpty():
-        return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+        return docs.join(gone, docs[id_col] == gone[gone_id], "left_anti")
     columns, key = docs.columns, docs[id_col].cast("long")
-    single = docs.join(repeated.unionAll(gone), key == F.col("_repeated"), "left_anti")
-    shared = docs.join(repeated, key == F.col("_repeated"), "left_semi")
+    mark, row = fresh("_fp", columns), fresh("_row", columns)
+    single = docs.join(repeated.unionAll(gone), key == F.col(repeated_id), "left_anti")
+    shared = docs.join(repeated, key == F.col(repeated_id), "left_semi")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in rows_of(batches, text_col):
             fps = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps)], names=[*columns, "_fp"])
-
-    marked = shared.mapInArrow(each, StructType([*docs.schema.fields, StructField("_fp", LongType())]))
-    named = found.where("component_id = doc_id").select(F.col("doc_id").alias("_named"), F.col("fp").alias("_named_fp"), F.col("root").alias("_root")).distinct()
-    kept = marked.join(named, (marked[id_col].cast("long") == named["_named"]) & (marked["_fp"] == named["_named_fp"]))
-    best = kept.groupBy("_root").agg(F.min_by(F.struct(*columns), F.struct("_fp", text_col)).alias("_row"))
-    return single.unionByName(best.select(*(F.col("_row")[c].alias(c) for c in columns)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps)], names=[*columns, mark])
+
+    marked = shared.mapInArrow(each, StructType([*docs.schema.fields, StructField(mark, LongType())]))
+    root = fresh("_root", columns)
+    named = found.where("component_id = doc_id").select(F.col("doc_id").alias("_named"), F.col("fp").alias("_named_fp"), F.col("root").alias(root)).distinct()
+    kept = marked.join(named, (marked[id_col].cast("long") == named["_named"]) & (marked[mark] == named["_named_fp"]))
+    best = kept.groupBy(root).agg(F.min_by(F.struct(*(marked[c] for c in columns)), F.struct(marked[mark], marked[text_col])).alias(row))
+    return single.unionByName(best.select(*(F.col(row)[c].alias(c) for c in columns)))
