@@ -3,10 +3,15 @@
 The items (few and short against the corpus) become an inverted index whose terms are pairs of neighbouring words; BM25
 weights are divided by each item's score against itself, so that a passage scores 1 for an item that it holds in full. Every
 passage of every document is a query: passages are windows of twice the stride, and the stride is no shorter than the
-longest item, so that an item never straddles all windows. A passage whose terms' upper bounds can't reach the threshold is
-skipped; the others run block-max WAND, which returns every item at or above the threshold. What it returns is verified on
-five-word shingles of the item's question and its answer (its last sentence). The index is built for shards of the items
-of at most SHARD_BYTES of text, so that what is sent to the executors has a proven bound; documents are never shuffled.
+longest item, so that an item never straddles all windows. Items of like length (up to STRIDE words, twice that, four times
+that, ...) have an index and a stride of their own, so that one very long item leaves the passages of the others as they are.
+A passage whose terms' upper bounds can't reach the threshold is skipped; the others run block-max WAND, which returns every
+item at or above the threshold. What it returns is verified on five-word shingles of the item's question and its answer (its
+last sentence).
+
+Document frequencies, the number of items and their mean length are counted over all items by Spark. The items are then
+searched in shards of about SHARD_BYTES of text, one after another: the driver and each task hold the index of one shard,
+and as the statistics are those of all items, the size of a shard changes no result. Documents are never shuffled.
 
 Defined results: null and empty texts are clean; items without a word never match; items of fewer than five words are one
 shingle; repeated items and rows match each; a null item identifier is kept as null; empty tables give an empty
@@ -25,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_values, rows_of, tune
+from .common import binary_values, materialize, rows_of, tune
 
 #: Fixed values of BM25, the retrieval threshold (share of an item's own score) and the overlap at which an item counts as held.
 K1, B = 1.2, 0.75
@@ -71,6 +76,7 @@ class Index:
     """Postings of word pairs: item numbers in rising order, their weights, and the greatest weight of each block."""
 
     ids: list[int | None] = field(default_factory=list)
+    times: list[int] = field(default_factory=list)  # how often each item occurs
     parts: list[tuple[list[bytes], list[bytes]]] = field(default_factory=list)
     words: dict[bytes, int] = field(default_factory=dict)
     terms: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # sorted pair numbers
@@ -83,13 +89,35 @@ def pairs_of(words: list[bytes]) -> list[tuple[bytes, bytes]]:
     return [(words[i], words[i + 1]) for i in range(len(words) - 1)] or [(w, b"") for w in words]
 
 
-def build(items: list[tuple[int | None, str | None]]) -> Index:
+@dataclass
+class Statistics:
+    """What BM25 needs to know of all items: their number, mean number of pairs, and the items that hold each pair."""
+
+    n: int
+    mean: float
+    df: dict[tuple[bytes, bytes], int]
+
+
+def statistics(items: list[tuple[int | None, str | None, int]]) -> Statistics:
+    docs = [(Counter(pairs_of(ws)), k) for _, t, k in items if (ws := tokens(t or ""))]
+    n = sum(k for _, k in docs)
+    df: Counter = Counter()
+    for d, k in docs:
+        for t in d:
+            df[t] += k
+    return Statistics(n, sum(d.total() * k for d, k in docs) / max(n, 1), df)
+
+
+def build(items: list[tuple[int | None, str | None, int]], known: Statistics | None = None) -> Index:
+    """An index of (identifier, text, times) with the statistics given, or those of these items alone."""
+    known = known or statistics(items)
     ix = Index()
     docs: list[Counter] = []
-    for i, text in items:
+    for i, text, times in items:
         q, a = question_and_answer(text or "")
         if q or a:
             ix.ids.append(i)
+            ix.times.append(times)
             ix.parts.append((q, a))
             docs.append(Counter(pairs_of(q + a)))
     if not docs:
@@ -98,9 +126,8 @@ def build(items: list[tuple[int | None, str | None]]) -> Index:
         for pair in d:
             for w in pair:
                 ix.words.setdefault(w, len(ix.words))
-    n, mean = len(docs), sum(d.total() for d in docs) / len(docs)
-    df = Counter(t for d in docs for t in d)
-    idf = {t: np.log(1 + (n - k + 0.5) / (k + 0.5)) for t, k in df.items()}
+    n, mean = known.n, known.mean
+    idf = {t: np.log(1 + (n - known.df[t] + 0.5) / (known.df[t] + 0.5)) for d in docs for t in d}
     found: dict[int, list[tuple[int, float]]] = defaultdict(list)
     width = len(ix.words)
     for k, d in enumerate(docs):
@@ -161,11 +188,27 @@ def block_max_wand(ix: Index, terms: list[int], threshold: float) -> list[tuple[
                 seek(c, nxt)
 
 
-def matches(ix: Index, text: str, threshold: float = THRESHOLD, least: float = OVERLAP) -> list[tuple[int, float, float, float]]:
-    """(item number, score, question overlap, answer overlap) of the items that a text holds, each by its best passage."""
-    if not len(ix.terms):
-        return []
-    words = tokens(text)
+def length_class(words: int) -> int:
+    """0 up to STRIDE words, 1 up to twice as many, and so on."""
+    return max(0, -(-words // STRIDE) - 1).bit_length()
+
+
+def shard_of(items: list[tuple[int | None, str | None, int]], known: Statistics | None = None) -> list[Index]:
+    """An index for the items of each class of length."""
+    known = known or statistics(items)
+    classes: dict[int, list] = defaultdict(list)
+    for item in items:
+        classes[length_class(len(tokens(item[1] or "")))].append(item)
+    return [ix for _, some in sorted(classes.items()) if len((ix := build(some, known)).terms)]
+
+
+def matches(shard: list[Index], text: str, threshold: float = THRESHOLD, least: float = OVERLAP) -> list[tuple[int | None, int, float, float, float]]:
+    """(identifier, times, score, question overlap, answer overlap) of the items that a text holds, each by its best passage."""
+    words = tokens(text) if shard else []
+    return [(ix.ids[m[0]], ix.times[m[0]], *m[1:]) for ix in shard for m in _search(ix, words, threshold, least)]
+
+
+def _search(ix: Index, words: list[bytes], threshold: float, least: float) -> list[tuple[int, float, float, float]]:
     get, n = ix.words.get, len(words)
     if not n:
         return []
@@ -205,41 +248,69 @@ def matches(ix: Index, text: str, threshold: float = THRESHOLD, least: float = O
     return sorted(best.values())
 
 
-def indexes(items: DataFrame, id_col: str, text_col: str) -> list[Index]:
-    rows = items.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
-    size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    shards = max(1, -(-int(size) // SHARD_BYTES))
-    return [build(sorted(((r.i, r.t) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(shards)) == k).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))) for k in range(shards)]
+def indexes(items: DataFrame, id_col: str, text_col: str, shard_bytes: int = SHARD_BYTES) -> Iterator[list[Index]]:
+    """The shards of the items, one after another; one empty shard for no items."""
+    rows = materialize(items.groupBy(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).agg(F.count(F.lit(1)).alias("times")).where("t is not null"))
 
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in rows_of(batches, "t"):
+            found = []
+            for at, times, raw in zip(batch.column("shard").to_pylist(), batch.column("times").to_pylist(), texts, strict=True):
+                ws = tokens(raw.decode("utf-8", "replace"))
+                d = Counter(pairs_of(ws)) if ws else Counter()
+                found.append((at, times if ws else 0, d.total() * times, len(raw), [(a + b" " + b) for a, b in d]))
+            c = list(zip(*found, strict=True))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.binary()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, kinds, strict=True)], names=["shard", "times", "pairs", "size", "held"])
 
-def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    shards = max(1, -(-int(size) // shard_bytes))
+    placed = rows.withColumn("shard", F.pmod(F.xxhash64("i", "t"), F.lit(shards)))
+    counts = materialize(placed.select("shard", "times", "t").mapInArrow(counted, "shard long, times long, pairs long, size long, held array<binary>"))
+    n, pairs = counts.agg(F.sum("times"), F.sum("pairs")).first()
+    held = counts.select("shard", "times", F.explode("held").alias("pair"))
+    df = held.groupBy("pair").agg(F.sum("times").alias("df"))
+    frequencies = materialize(held.select("shard", "pair").distinct().join(df, "pair").select("shard", "pair", "df"))
+    for k in range(shards):  # about shard_bytes of text, and no more pairs than it has words, reach the driver at once
+        known = {tuple(bytes(r.pair).split(b" ")): r.df for r in frequencies.where(F.col("shard") == k).select("pair", "df").collect()}
+        own = sorted(((r.i, r.t, r.times) for r in placed.where(F.col("shard") == k).select("i", "t", "times").collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        yield shard_of(own, Statistics(n or 0, (pairs or 0) / max(n or 0, 1), known))
+
+
+def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap of every document and item that it holds."""
     tune(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     names, kinds = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"], [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-    out = None
-    for ix in indexes(items, item_id, item_text):
+    parts: list[DataFrame] = []
+    for shard in indexes(items, item_id, item_text, shard_bytes):
 
-        def search(batches: Iterator[pa.RecordBatch], ix: Index = ix) -> Iterator[pa.RecordBatch]:
+        def search(batches: Iterator[pa.RecordBatch], shard: list[Index] = shard) -> Iterator[pa.RecordBatch]:
             for batch, texts in rows_of(batches, "text"):
-                found = [(i, ix.ids[m[0]], *m[1:]) for i, t in zip(batch.column("doc_id").to_pylist(), texts, strict=True) for m in matches(ix, t.decode("utf-8", "replace"))]
+                found = [(i, m[0], *m[2:]) for i, t in zip(batch.column("doc_id").to_pylist(), texts, strict=True) for m in matches(shard, t.decode("utf-8", "replace")) for _ in range(m[1])]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names=names)
 
-        part = base.mapInArrow(search, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
-        out = part if out is None else out.unionByName(part)
+        if parts:  # the shard before is done with, and its index can go
+            parts[-1] = materialize(parts[-1])
+        parts.append(base.mapInArrow(search, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     return out
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """The rows that hold no item, with all their columns."""
     tune(docs.sparkSession)
     at = docs.columns.index(text_col)
-    for ix in indexes(items, item_id, item_text):
+    for k, shard in enumerate(indexes(items, item_id, item_text, shard_bytes)):
 
-        def clean(batches: Iterator[pa.RecordBatch], ix: Index = ix) -> Iterator[pa.RecordBatch]:
+        def clean(batches: Iterator[pa.RecordBatch], shard: list[Index] = shard) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield batch.filter(pa.array([not matches(ix, t.decode("utf-8", "replace")) for t in binary_values(batch.column(at))], pa.bool_()))
+                yield batch.filter(pa.array([not matches(shard, t.decode("utf-8", "replace")) for t in binary_values(batch.column(at))], pa.bool_()))
 
+        if k:  # the shard before is done with, and its index can go
+            docs = materialize(docs)
         docs = docs.mapInArrow(clean, docs.schema)
     return docs
