@@ -3,15 +3,17 @@
 A byte is eight binary decisions, each with a context tree of its own over the bytes before it. Every tree node holds a
 Krichevsky-Trofimov estimate from its counts over the whole training fold, and a node's probability is the even mixture of
 its own estimate and the product of its children's (the deepest ones are leaves). A text is scored with the posterior
-weights: along the path of a position the prediction is w * own + (1 - w) * next deeper, down to the deepest context that
-was seen in training. The text is followed by an end symbol (byte zero), and starts after bytes of zero.
+weights: along the path of a position the prediction is w * own + (1 - w) * next deeper, down to the leaf; a context that
+was not seen in training predicts 1/2 and keeps its weight. The text is followed by an end symbol (byte zero), and starts
+after bytes of zero. Each string's log-probability is exchanged as a 32-bit float, so that scores are exact to seven digits.
 
 How it runs: documents are written once with block numbers (at most BLOCK_BYTES of text each). Each block counts its
 distinct words and (depth + 1)-byte strings and sends them, packed by a hash of the word, or of the two latest context bytes, to
-the task that adds up that share over all blocks; that task holds every longer context below its two-byte contexts and
-so computes those levels of the trees alone. The levels above (at most 256 x 255 nodes) are added up and finished on the driver.
-Each block then gets back the counts of its words and the log-probabilities of its strings, and its documents are
-scored from these. No table of the corpus is ever broadcast or held whole; words are keyed by their 64-bit XXH64.
+the task that adds up that share block by block; a share holds every longer context below its two-byte contexts, so that those
+levels of the trees are computed from it alone. The levels above (at most 256 x 255 nodes) are added up and finished on the
+driver. Each block then gets back, one after another from the share's table, the counts of its words and the log-probabilities
+of its strings, and its documents are scored from these. A task holds one share's distinct strings or one block, never all
+blocks of a share; shares and tasks grow in number with the text. No table of the corpus is ever broadcast or held whole; words are keyed by their 64-bit XXH64.
 
 Defined results: null and empty texts are the end symbol alone; without training rows every count is zero and each decision has probability
 1/2; null identifiers are never held out and train like others; repeated rows count and are scored each; an empty
@@ -32,6 +34,8 @@ from .common import is_fold, materialize, partitions, rows_of, tune
 
 DEPTH = 5
 BLOCK_BYTES = 48 << 20
+#: Packed bytes of all blocks for each share, about.
+SHARE_BYTES = 64 << 20
 #: Bytes of text whose strings are sorted at once.
 CHUNK = 2 << 20
 #: Key of the end token; a word is never empty.
@@ -114,29 +118,18 @@ class Tree:
         return [(int(i) >> 8, int(i) & 255, *map(float, c)) for i, *c in zip(ids, *cols, strict=True)]
 
     def log10(self, upper: tuple[np.ndarray, ...]) -> np.ndarray:
-        """log10 of each string's last byte given those before it. upper: ones' estimates, weights, counts by (byte, decision), then by decision."""
-        p = np.full(self.rows, np.nan)  # of the row's own bit; nan: not seen
-        index = np.arange(self.rows)
-        nodes = []
+        """log10 of each string's last byte given those before it. upper: ones' estimates and weights by (byte, decision), then by decision."""
+        p, index = np.full(self.rows, 0.5), np.arange(self.rows)  # of the row's own bit
         for where, n0, n1, w in self.levels:
-            index = where[index] if nodes else where
-            nodes.append((index, n0, n1, w))
-        for index, n0, n1, w in nodes:
-            p = self._step(p, n0[index], n1[index], None if w is None else w[index])
-        est1, w1, n1_, est0, w0, n0_ = upper
-        byte, node = (self.ids >> 8) & 255, self.ids & 255
-        byte, node = byte[nodes[-1][0]], node[nodes[-1][0]]
-        for est, w, seen in ((est1[byte, node], w1[byte, node], n1_[byte, node]), (est0[node], w0[node], n0_[node])):
-            own = np.where(self.bit == 1, est, 1 - est)
-            mixed = np.where(np.isnan(p), own, w * own + (1 - w) * p)
-            p = np.where(seen > 0, mixed, np.nan)
-        return np.log10(np.where(np.isnan(p), 0.5, p)).reshape(-1, 8).sum(1)
-
-    def _step(self, p: np.ndarray, n0: np.ndarray, n1: np.ndarray, w: np.ndarray | None) -> np.ndarray:
-        n = n0 + n1
-        own = (np.where(self.bit == 1, n1, n0) + 0.5) / (n + 1)
-        mixed = own if w is None else np.where(np.isnan(p), own, w * own + (1 - w) * p)
-        return np.where(n > 0, mixed, np.nan)
+            index = where[index]
+            a, b = n0[index], n1[index]
+            own = (np.where(self.bit == 1, b, a) + 0.5) / (a + b + 1)
+            p = own if w is None else w[index] * own + (1 - w[index]) * p
+        est1, w1, est0, w0 = upper
+        byte, node = ((self.ids >> 8) & 255)[index], (self.ids & 255)[index]
+        for est, w in ((est1[byte, node], w1[byte, node]), (est0[node], w0[node])):
+            p = w * np.where(self.bit == 1, est, 1 - est) + (1 - w) * p
+        return np.log10(p).reshape(-1, 8).sum(1)
 
 
 def upper_levels(rows: list[tuple[int, int, float, float, float]]) -> tuple[np.ndarray, ...]:
@@ -149,7 +142,7 @@ def upper_levels(rows: list[tuple[int, int, float, float, float]]) -> tuple[np.n
     logs, w1 = mixture(n0, n1, children)
     a, b = n0.sum(0), n1.sum(0)
     _, w0 = mixture(a, b, logs.sum(0))
-    return (n1 + 0.5) / (n0 + n1 + 1), w1, n0 + n1, (b + 0.5) / (a + b + 1), w0, a + b
+    return (n1 + 0.5) / (n0 + n1 + 1), w1, (b + 0.5) / (a + b + 1), w0
 
 
 class Lookup:
@@ -278,25 +271,51 @@ def _packed(rows: list[tuple], names: str = "kind bucket block keys counts") ->
     return pa.RecordBatch.from_arrays([pa.array(c[0], pa.string()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.binary()), pa.array(c[4], pa.binary())], names=names.split())
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, list[tuple[int, np.ndarray, np.ndarray]]]]:
-    """Sorted packed rows as (kind, bucket, [(block, keys, counts)])."""
-    at, held = None, []
+Packed = tuple[str, int, int, np.ndarray, bytes]
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[Packed]:
+    """(kind, bucket, block, keys, packed numbers) of each row."""
     for b in batches:
-        for kind, bucket, block, keys, counts in zip(*(b.column(c).to_pylist() for c in ("kind", "bucket", "block", "keys", "counts")), strict=True):
-            if at != (kind, bucket):
-                if held:
-                    yield *at, held
-                at, held = (kind, bucket), []
-            held.append((block, _unpack_keys(keys), _unplanes(counts, np.int64)))
-    if held:
-        yield *at, held
+        for kind, bucket, block, keys, numbers in zip(*(b.column(c).to_pylist() for c in ("kind", "bucket", "block", "keys", "counts")), strict=True):
+            yield kind, bucket, block, _unpack_keys(keys), numbers
+
+
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of each (kind, bucket) over its blocks, from sorted rows: what is held is the sum and as much again."""
+    at, keys, counts = None, [], []
+    size = least = 0
+    for kind, bucket, _, k, n in _unpacked(batches):
+        if at is not None and at != (kind, bucket):
+            total = _summed(keys, counts)
+            yield _packed([(*at, -1, _pack_keys(total[0]), _planes(total[1]))])
+            keys, counts, size, least = [], [], 0, 0
+        at = (kind, bucket)
+        keys.append(k)
+        counts.append(_unplanes(n, np.int64))
+        size += len(k)
+        if size > max(2 * least, 1_000_000):
+            k, n = _summed(keys, counts)
+            keys, counts, size, least = [k], [n], len(k), len(k)
+    if at is not None:
+        total = _summed(keys, counts)
+        yield _packed([(*at, -1, _pack_keys(total[0]), _planes(total[1]))])
+
+
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What each block asked for, from sorted rows: a share's table (block -1) comes before its blocks."""
+    keys, values = np.zeros(0, np.uint64), np.zeros(0)
+    for kind, bucket, block, own, numbers in _unpacked(batches):
+        if block < 0:
+            keys, values = own, _unplanes(numbers, np.int64 if kind == "w" else np.float32)
+        else:
+            yield _packed([(kind, bucket, block, _pack_keys(own), _planes(values[np.searchsorted(keys, own)]))])
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     spark = docs.sparkSession
     tune(spark)
-    buckets = partitions(spark)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, size = None, 0
@@ -311,6 +330,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), is_fold(id_col, 10, 0).alias("held_out"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("at"))
     blocks = materialize(base.mapInArrow(number, "block long, doc_id long, held_out boolean, text binary"))
+    n_blocks, size = blocks.agg(F.count_distinct("block"), F.sum(F.octet_length("text"))).first()
+    # No more shares than there are contexts of two bytes.
+    buckets, tasks = min(1 << 16, max(partitions(spark), (size or 0) // SHARE_BYTES)), max(partitions(spark), 2 * n_blocks)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, counts = None, BlockCounts(depth)
@@ -334,32 +356,31 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
             yield from done()
 
     packed = materialize(blocks.mapInArrow(count, PACKED))
-    shared = packed.repartition(buckets, "kind", "bucket").sortWithinPartitions("kind", "bucket")
+    totals = materialize(packed.repartition(buckets, "kind", "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(_totals, PACKED))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for kind, _, held in _groups(batches):
-            keys, n = _summed([k for _, k, _ in held], [c for _, _, c in held])
+        for kind, _, _, keys, numbers in _unpacked(batches):
+            n = _unplanes(numbers, np.int64)
             rows = [(-1, -1, float(n.sum()), float((n > 0).sum()), 0.0)] if kind == "w" else Tree(keys, n, depth).sums()
             c = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, (pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64()), strict=True)], names=["byte", "node", "n0", "n1", "logs"])
 
-    found = shared.mapInArrow(sums, "byte int, node int, n0 double, n1 double, logs double").groupBy("byte", "node").agg(F.sum("n0"), F.sum("n1"), F.sum("logs")).collect()
+    found = totals.mapInArrow(sums, "byte int, node int, n0 double, n1 double, logs double").groupBy("byte", "node").agg(F.sum("n0"), F.sum("n1"), F.sum("logs")).collect()
     upper = upper_levels([tuple(r) for r in found if r[0] >= 0])
     total, distinct = next(((r[2], r[3]) for r in found if r[0] < 0), (0.0, 0.0))
 
-    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for kind, bucket, held in _groups(batches):
-            keys, n = _summed([k for _, k, _ in held], [c for _, _, c in held])
-            answers = n if kind == "w" else Tree(keys, n, depth).log10(upper).astype(np.float32)
-            for block, own, _ in held:
-                yield _packed([(kind, bucket, block, _pack_keys(own), _planes(answers[np.searchsorted(keys, own)]))])
+    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for kind, bucket, block, keys, numbers in _unpacked(batches):
+            n = _unplanes(numbers, np.int64)
+            yield _packed([(kind, bucket, block, _pack_keys(keys), _planes(n if kind == "w" else Tree(keys, n, depth).log10(upper).astype(np.float32)))])
 
-    answered = shared.mapInArrow(values, PACKED)
+    asked = totals.mapInArrow(tables, PACKED).unionByName(packed).repartition(buckets, "kind", "bucket").sortWithinPartitions("kind", "bucket", "block")
+    answered = asked.mapInArrow(_answers, PACKED)
     none = F.lit(None)
     both = answered.select("block", F.lit(0).alias("turn"), "kind", "keys", "counts", none.cast("long").alias("doc_id"), none.cast("boolean").alias("held_out"), none.cast("binary").alias("text")).unionByName(
         blocks.select("block", F.lit(1).alias("turn"), none.cast("string").alias("kind"), none.cast("binary").alias("keys"), none.cast("binary").alias("counts"), "doc_id", "held_out", "text")
     )
-    ordered = both.repartition(buckets, "block").sortWithinPartitions("block", "turn")
+    ordered = both.repartition(tasks, "block").sortWithinPartitions("block", "turn")
     floor = np.log10(total + 0.1 * (distinct + 1))
 
     # One batch can hold the end of a block and the beginning of the next; rows are therefore handled run by run.
