@@ -1,7 +1,8 @@
 """Exact deduplication by content sort.
 
 Sampled splitters range-partition the normalised texts, Spark's external sort places equals next to one another, and
-each row is compared in full with its neighbour. The sort key is a prefix of the normalised bytes, their SHA-256, the
+each row is compared in full with its neighbour. Sorting by whole texts would compare the equals of a hot group byte by
+byte, and make the splitters as long as the texts; the sort key is therefore a prefix of the normalised bytes, their SHA-256, the
 code points of the original (most first) and the identifier (smallest first): equals are adjacent, a group's first row
 is the one that stays, and splitters over this key cut even a group that holds a third of all rows into several
 partitions. Runs that meet at a partition border are joined afterwards from two rows per partition.
@@ -23,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, binary_values, materialize, packed_binary, partitions, tune
+from .common import WHITE, binary_values, fresh, materialize, packed_binary, partitions, tune
 
 PREFIX = 24
 KEY = PREFIX + 32 + 8 + 1 + 8
@@ -163,15 +164,16 @@ def _border_runs(rows: DataFrame) -> list[tuple]:
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns."""
-    decided = materialize(exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept_id"), F.unhex("text_sha256").alias("_kept_sha")))
+    """The rows that stay, with all their columns, whatever their names."""
+    columns = docs.columns
+    kept_id, kept_sha, digest, row = (fresh(n, columns) for n in ("_kept_id", "_kept_sha", "_digest", "_row"))
+    decided = materialize(exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(kept_id), F.unhex("text_sha256").alias(kept_sha)))
     repeated = docs.groupBy(id_col).count().where("count > 1").limit(1).count()
     if not repeated:
-        return docs.join(decided, docs[id_col].eqNullSafe(decided["_kept_id"]), "left_semi")
+        return docs.join(decided, docs[id_col].eqNullSafe(decided[kept_id]), "left_semi")
     # Some identifiers occur more than once: compare the texts too, and keep one of the rows that agree in both.
-    digest = F.unhex(F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "[\\x20\\x09-\\x0D]", ""), 256))
-    marked = docs.withColumns({"_digest": digest, "_points": F.char_length(F.coalesce(F.col(text_col), F.lit("")))})
-    found = marked.join(decided, marked[id_col].eqNullSafe(decided["_kept_id"]) & (marked["_digest"] == decided["_kept_sha"]), "left_semi")
-    columns = docs.columns
-    best = found.groupBy(id_col, "_digest").agg(F.max_by(F.struct(*columns), F.struct("_points")).alias("_row"))
-    return best.select(*(F.col("_row")[c].alias(c) for c in columns))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    marked = docs.withColumn(digest, F.unhex(F.sha2(F.regexp_replace(text, "[\\x20\\x09-\\x0D]", ""), 256)))
+    found = marked.join(decided, marked[id_col].eqNullSafe(decided[kept_id]) & (marked[digest] == decided[kept_sha]), "left_semi")
+    best = found.groupBy(id_col, digest).agg(F.max_by(F.struct(*columns), F.char_length(text)).alias(row))
+    return best.select(*(F.col(row)[c].alias(c) for c in columns))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, rows_of, tune
+from .common import fresh, materialize, rows_of, tune
 
 CAPACITY = 4096
 END_ID = 1
@@ -160,18 +160,22 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
 def pack(table: DataFrame, capacity: int = CAPACITY, length_col: str = "length") -> DataFrame:
     """Adds sequence_id and offset to a table whose rows have a length of 1 to the capacity; its other columns are carried along."""
     carried = table.columns
-    rows = materialize(table.withColumn("_uid", F.monotonically_increasing_id()))
+    own = [fresh(n, carried) for n in ("_uid", "sequence_id", "offset")]
+    if own[1:] != ["sequence_id", "offset"]:
+        raise ValueError("the table has columns sequence_id or offset of its own")
+    uid = own[0]
+    rows = materialize(table.withColumn(uid, F.monotonically_increasing_id()))
     groups = max(1, -(-rows.count() // GROUP))
 
     def first(pdf: pd.DataFrame) -> pd.DataFrame:
-        bins, offsets, left = sum_of_squares(pdf[length_col].to_numpy(np.int64), capacity)
+        bins, offsets, left = sum_of_squares(pdf["_length"].to_numpy(np.int64), capacity)
         return pd.DataFrame({"_uid": pdf["_uid"], "_group": pdf["_group"], "_bin": bins, "_offset": offsets, "_gap": left[bins]})
 
     def second(pdf: pd.DataFrame) -> pd.DataFrame:
         bins, offsets, _ = sum_of_squares(capacity - pdf["_gap"].to_numpy(np.int64), capacity)
         return pd.DataFrame({"_group": pdf["_group"], "_bin": pdf["_bin"], "_again": pdf["_super"] * (1 << 20) + bins, "_base": offsets})
 
-    light = rows.select("_uid", length_col, F.pmod(F.xxhash64("_uid"), F.lit(groups)).alias("_group"))
+    light = rows.select(F.col(uid).alias("_uid"), F.col(length_col).alias("_length"), F.pmod(F.xxhash64(uid), F.lit(groups)).alias("_group"))
     placed = materialize(light.groupBy("_group").applyInPandas(first, "_uid long, _group long, _bin long, _offset long, _gap long"))
     loose = placed.where(F.col("_gap") > CLOSED).groupBy("_group", "_bin").agg(F.first("_gap").alias("_gap"))
     n = loose.count()
@@ -179,9 +183,9 @@ def pack(table: DataFrame, capacity: int = CAPACITY, length_col: str = "length")
     again = materialize(loose.withColumn("_super", F.pmod(F.xxhash64("_group", "_bin"), F.lit(supers))).groupBy("_super").applyInPandas(second, "_group long, _bin long, _again long, _base long"))
     first_id = F.col("_group") * (1 << 20) + F.col("_bin")
     moved = placed.join(again, ["_group", "_bin"], "left").select(
-        "_uid", F.when(F.col("_again").isNull(), 2 * first_id).otherwise(2 * F.col("_again") + 1).alias("sequence_id"), (F.col("_offset") + F.coalesce("_base", F.lit(0))).alias("offset")
+        F.col("_uid").alias(uid), F.when(F.col("_again").isNull(), 2 * first_id).otherwise(2 * F.col("_again") + 1).alias("sequence_id"), (F.col("_offset") + F.coalesce("_base", F.lit(0))).alias("offset")
     )
-    return rows.join(moved, "_uid").select(*carried, "sequence_id", "offset")
+    return rows.join(moved, uid).select(*carried, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
