@@ -67,6 +67,14 @@ def statistics(text: bytes) -> list[float]:
     ]
 
 
+def solved(factor: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """The rows of z divided by a lower triangular factor: their squares add up to Mahalanobis distances."""
+    out = np.empty_like(z, float)
+    for i in range(len(factor)):
+        out[:, i] = (z[:, i] - out[:, :i] @ factor[i, :i]) / factor[i, i]
+    return out
+
+
 class Discriminant:
     """Two Gaussians with shrunken covariances."""
 
@@ -84,14 +92,14 @@ class Discriminant:
             s = (1 - to_diagonal) * s + to_diagonal * np.eye(d) * max(np.trace(s) / d, 1e-3)
             factor = np.linalg.cholesky(s + 1e-6 * np.eye(d))
             self.means.append(c.mean(0))
-            self.factors.append(np.linalg.inv(factor))
+            self.factors.append(factor)
             self.logs.append(np.log(max(len(c), 1) / len(z)) - np.log(np.diag(factor)).sum())
         self.slope, self.offset = 1.0, 0.0
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         """Log-density of class 1 less that of class 0, drawn in where it is extreme."""
         z = np.clip((x - self.centre) / self.scale, -12, 12)
-        a, b = (self.logs[k] - 0.5 * (((z - self.means[k]) @ self.factors[k].T) ** 2).sum(1) for k in (0, 1))
+        a, b = (self.logs[k] - 0.5 * (solved(self.factors[k], z - self.means[k]) ** 2).sum(1) for k in (0, 1))
         return np.arcsinh(b - a)
 
     def temper(self, x: np.ndarray, y: np.ndarray) -> None:
