@@ -191,7 +191,7 @@ def brute_scores(ix, terms):
 def test_wand_returns_all_above_the_threshold():
     rng = random.Random(1)
     words = [f"w{i}" for i in range(40)]
-    ix = decontam.build([(i, " ".join(rng.choices(words, k=rng.randrange(1, 40)))) for i in range(200)])
+    ix = decontam.build([(i, " ".join(rng.choices(words, k=rng.randrange(1, 40))), 1) for i in range(200)])
     for _ in range(40):
         terms = sorted(rng.sample(range(len(ix.terms)), rng.randrange(1, 60)))
         for threshold in (0.05, 0.2, 0.5, 0.9):
@@ -255,7 +255,7 @@ class SlowTree:
         return [((1 << j) | (x >> (8 - j)), (x >> (7 - j)) & 1) for j in range(8)]
 
     def kt(self, s, node):
-        a, b = self.n[s, node]
+        a, b = self.n.get((s, node), (0, 0))
         return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
 
     def weighted(self, s, node):
@@ -264,20 +264,21 @@ class SlowTree:
             if len(s) == self.depth:
                 self.memo[s, node] = own
             else:
-                kids = sum(self.weighted(k, node) for k in self.kids[s, node])
+                kids = sum(self.weighted(k, node) for k in self.kids.get((s, node), ()))
                 self.memo[s, node] = np.logaddexp(own, kids) - math.log(2)
         return self.memo[s, node]
 
     def bit(self, c, node, bit):
-        p = None
+        """The weighted probability with one more decision, over the one without: no posterior weights."""
+        value = 0.0
         for d in range(self.depth, -1, -1):
             s = c[self.depth - d :]
-            n = self.n[s, node] if (s, node) in self.n else [0, 0]
-            if sum(n):
-                own = (n[bit] + 0.5) / (sum(n) + 1)
-                w = math.exp(self.kt(s, node) - math.log(2) - self.weighted(s, node)) if d < self.depth else 1.0
-                p = own if p is None else w * own + (1 - w) * p
-        return 0.5 if p is None else p
+            a, b = self.n.get((s, node), (0, 0))
+            a, b = a + (bit == 0), b + (bit == 1)
+            own = math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+            others = sum(self.weighted(k, node) for k in self.kids.get((s, node), ()) if k != c[self.depth - d - 1 :]) if d < self.depth else 0.0
+            value = own if d == self.depth else np.logaddexp(own, others + value) - math.log(2)
+        return math.exp(value - self.weighted(b"", node))
 
     def log10(self, t):
         return sum(math.log10(self.bit(c, node, b)) for c, x in self.positions(t) for node, b in self.decisions(x))
@@ -476,7 +477,7 @@ def test_toxicity_held_out(labelled):
     share, pairs = accuracy(rows, known, "toxic")
     assert len(rows) == 10_000 and share > 0.95
     flagged = [b for a, b in pairs if a]
-    assert sum(flagged) / len(flagged) > 0.95 and sum(flagged) > 0.7 * sum(b for _, b in pairs)
+    assert sum(flagged) / len(flagged) > 0.95 and sum(flagged) > 0.9 * sum(b for _, b in pairs)
 
 
 def test_language_held_out(labelled):
@@ -490,7 +491,7 @@ def test_language_held_out(labelled):
 def test_gradients_by_differences():
     net = language_id.Network(3, hidden=4)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
-    x, live = language_id.framed([b"abc", b"d", b"hello"])
+    x, live = language_id.matrix([b"abc", b"d", b"he lo"])
     y = np.array([0, 2, 1])
     _, grads = net.gradients(x, live, y)
     rng = np.random.default_rng(0)
