@@ -28,7 +28,7 @@ def is_fold(id_col: Column | str, modulus: int, remainder: int) -> Column:
 def tune(spark: SparkSession) -> None:
     """Bounds what one Arrow batch holds, so that very long texts don't fill a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -22,7 +22,6 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,11 +32,11 @@ from pyspark.sql import functions as F
 from .common import is_fold, materialize, partitions, rows_of, tune
 
 DEPTH = 5
-BLOCK_BYTES = 48 << 20
+BLOCK_BYTES = 16 << 20
 #: Packed bytes of all blocks for each share, about.
 SHARE_BYTES = 64 << 20
-#: Bytes of text whose strings are sorted at once.
-CHUNK = 2 << 20
+#: Bytes of text whose words and strings are sorted at once.
+CHUNK = 1 << 19
 #: Key of the end token; a word is never empty.
 END = b""
 _TABLE = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1 << 16) + 0.5))])
@@ -176,11 +175,19 @@ class Lookup:
         return out
 
 
-def _hash(words: list[bytes]) -> np.ndarray:
+def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of every word and of the end of every text, and where each text's begin."""
     import xxhash
 
     h = xxhash.xxh64_intdigest
-    return np.fromiter((h(w) for w in words), np.uint64, len(words))
+    lists = [t.split() for t in texts]
+    starts = np.concatenate([[0], np.cumsum([len(ws) + 1 for ws in lists])]).astype(np.int64)
+    end = h(END)
+    found: list[int] = []
+    for ws in lists:
+        found += map(h, ws)
+        found.append(end)
+    return np.array(found, np.uint64), starts
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -211,39 +218,44 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return k, np.bincount(where, np.concatenate(counts), len(k)).astype(np.int64)
 
 
+class Sums:
+    """Counts by key, added up as they come: what is held is the sum and as much again."""
+
+    def __init__(self) -> None:
+        self.keys: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
+        self.size = self.least = 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.keys.append(keys)
+        self.counts.append(counts)
+        self.size += len(keys)
+        if self.size > max(2 * self.least, 1_000_000):
+            self.total()
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.keys) != 1:
+            k, n = _summed([np.zeros(0, np.uint64), *self.keys], [np.zeros(0, np.int64), *self.counts])
+            self.keys, self.counts, self.size, self.least = [k], [n], len(k), len(k)
+        return self.keys[0], self.counts[0]
+
+
 class BlockCounts:
     """Distinct words and strings of a block, with their counts in training documents."""
 
     def __init__(self, depth: int) -> None:
-        self.depth, self.words, self.others = depth, Counter(), set()
-        self.keys: list[np.ndarray] = []
-        self.counts: list[np.ndarray] = []
+        self.depth, self.words, self.strings = depth, Sums(), Sums()
 
     def add(self, texts: list[bytes], training: bool) -> None:
-        for t in texts:
-            ws = t.split()
-            (self.words.update if training else self.others.update)(ws)
-        if training:
-            self.words[END] += len(texts)
-        else:
-            self.others.add(END)
-        k, n = np.unique(strings(texts, self.depth)[0], return_counts=True)
-        self.keys.append(k)
-        self.counts.append(n if training else np.zeros(len(k), np.int64))
-        if sum(map(len, self.keys)) > 3_000_000:
-            k, n = _summed(self.keys, self.counts)
-            self.keys, self.counts = [k], [n]
+        for sums, keys in ((self.words, hashed_words(texts)[0]), (self.strings, strings(texts, self.depth)[0])):
+            k, n = np.unique(keys, return_counts=True)
+            sums.add(k, n if training else np.zeros(len(k), np.int64))
 
     def shares(self, buckets: int) -> Iterator[tuple[str, int, np.ndarray, np.ndarray]]:
-        words = list(self.words.keys() | self.others)
-        keys = _hash(words)
-        order = np.argsort(keys)
-        tables = [("w", keys[order], np.fromiter((self.words[w] for w in words), np.int64, len(words))[order])]
-        if self.keys:
-            tables.append(("g", *_summed(self.keys, self.counts)))
-        for kind, keys, counts in tables:
+        for kind, sums in (("w", self.words), ("g", self.strings)):
+            keys, counts = sums.total()
             base = keys if kind == "w" else (keys >> np.uint64(8)) & np.uint64(0xFFFF)
-            to = (((base * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+            to = (((base * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(to, kind="stable")
             bounds = np.searchsorted(to[order], np.arange(buckets + 1))
             for b in np.flatnonzero(np.diff(bounds)):
@@ -282,24 +294,21 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[Packed]:
 
 
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sum of each (kind, bucket) over its blocks, from sorted rows: what is held is the sum and as much again."""
-    at, keys, counts = None, [], []
-    size = least = 0
+    """The sum of each (kind, bucket) over its blocks, from sorted rows."""
+    at, sums = None, Sums()
+
+    def done() -> pa.RecordBatch:
+        k, n = sums.total()
+        return _packed([(*at, -1, _pack_keys(k), _planes(n))])
+
     for kind, bucket, _, k, n in _unpacked(batches):
         if at is not None and at != (kind, bucket):
-            total = _summed(keys, counts)
-            yield _packed([(*at, -1, _pack_keys(total[0]), _planes(total[1]))])
-            keys, counts, size, least = [], [], 0, 0
+            yield done()
+            sums = Sums()
         at = (kind, bucket)
-        keys.append(k)
-        counts.append(_unplanes(n, np.int64))
-        size += len(k)
-        if size > max(2 * least, 1_000_000):
-            k, n = _summed(keys, counts)
-            keys, counts, size, least = [k], [n], len(k), len(k)
+        sums.add(k, _unplanes(n, np.int64))
     if at is not None:
-        total = _summed(keys, counts)
-        yield _packed([(*at, -1, _pack_keys(total[0]), _planes(total[1]))])
+        yield done()
 
 
 def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,37 +398,26 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
 
         def ready() -> None:
             k, v = (np.concatenate(x) for x in zip(*state["g"], strict=True))
-            k, first = np.unique(k, return_index=True)
-            state["grams"], state["logs"] = Lookup(k), v[first].astype(np.float64)
+            state["grams"], state["logs"] = Lookup(k), v.astype(np.float64)
             k, v = (np.concatenate(x) for x in zip(*state["w"], strict=True))
-            state["keys"], first = np.unique(k, return_index=True)
-            state["counts"] = v[first]
-            state["at"], state["c"] = {}, np.zeros(0, np.int64)
+            order = np.argsort(k)
+            state["keys"], state["counts"] = k[order], v[order]
             state["w"], state["g"] = [], []
 
         def documents(part: pa.RecordBatch) -> pa.RecordBatch:
             if state["w"]:
                 ready()
-            texts = part.column("text").to_pylist()
-            lists = [t.split() for t in texts]
-            at = state["at"]
-            new = list({w for ws in lists for w in ws if w not in at} | ({END} - at.keys()))
-            if new:
-                at.update(zip(new, range(len(at), len(at) + len(new)), strict=True))
-                state["c"] = np.concatenate([state["c"], state["counts"][np.searchsorted(state["keys"], _hash(new))]])
-                state["log"] = np.log10(state["c"] + 0.1) - floor
-            rows = []
-            for ws in lists:
-                i = np.fromiter((at[w] for w in ws), np.int64, len(ws))
-                i = np.append(i, at[END])
-                rows.append((len(i), int((state["c"][i] > 0).sum()), float(state["log"][i].sum())))
-            scores = []
-            for some in _chunks(texts):
-                g, starts = strings(some, depth)
-                scores.append(np.add.reduceat(state["logs"][state["grams"].find(g)], starts[:-1]))
-            c = list(zip(*rows, strict=True))
+            columns: list[list[np.ndarray]] = [[], [], [], []]
+            for some in _chunks(part.column("text").to_pylist()):
+                h, starts = hashed_words(some)
+                c = state["counts"][np.searchsorted(state["keys"], h)]
+                g, places = strings(some, depth)
+                found = (np.diff(starts), np.add.reduceat(c > 0, starts[:-1], dtype=np.int64), np.add.reduceat(np.log10(c + 0.1) - floor, starts[:-1]), np.add.reduceat(state["logs"][state["grams"].find(g)], places[:-1]))
+                for column, x in zip(columns, found, strict=True):
+                    column.append(x)
+            n, known, base, scores = (np.concatenate(c) for c in columns)
             return pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("held_out"), pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(np.full(len(rows), int(total))), pa.array(c[2], pa.float64()), pa.array(np.concatenate(scores))],
+                [part.column("doc_id"), part.column("held_out"), pa.array(n), pa.array(known), pa.array(np.full(len(n), int(total))), pa.array(base), pa.array(scores)],
                 names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
