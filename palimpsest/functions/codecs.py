@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import struct
-
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,7 +68,8 @@ def length_prefixed(b: Column) -> Column:
 
 
 def fixed(b: Column, width: int, pad: bytes = b"\x00") -> Column:
-    return F.rpad(b, width, F.lit(pad))
+    """A component of exactly this width; a longer one is an error."""
+    return F.when(F.octet_length(b) > width, F.raise_error(F.lit(f"a component is longer than {width} bytes")).cast("binary")).otherwise(F.rpad(b, width, F.lit(pad)))
 
 
 def composite(*parts: Column) -> Column:
@@ -85,28 +85,33 @@ def uuid(c: Column) -> Column:
     return F.unhex(F.translate(c, "-", ""))
 
 
-@F.pandas_udf(T.BinaryType())
-def f64(values: pd.Series) -> pd.Series:
-    """A double: positive values get the sign bit turned over, negative ones all bits; every NaN sorts after infinity."""
+_TOP = np.uint64(1 << 63)
+
+
+@F.arrow_udf(T.BinaryType())
+def _f64(values: pa.Array) -> pa.Array:
+    x = values.fill_null(0.0).to_numpy(zero_copy_only=False)
+    n = np.where(np.isnan(x), np.uint64(0x7FF8 << 48), x.view(np.uint64))
+    raw = np.where(n & _TOP, ~n, n | _TOP).astype(">u8")
+    offsets = pa.py_buffer(8 * np.arange(len(x) + 1, dtype=np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, offsets, pa.py_buffer(raw.tobytes())])
+
 
-    def one(x: float) -> bytes | None:
-        if x is None:
-            return None
-        if x != x:
-            return b"\xff\xf8" + bytes(6)
-        n = int.from_bytes(struct.pack(">d", x), "big")
-        return (n ^ ((1 << 64) - 1) if n >> 63 else n | 1 << 63).to_bytes(8, "big")
+@F.arrow_udf(T.DoubleType())
+def _f64_decode(values: pa.Array) -> pa.Array:
+    n = np.frombuffer(b"".join(b"\xff" * 8 if b is None else b for b in values.to_pylist()), ">u8").astype(np.uint64)
+    return pa.array(np.where(n & _TOP, n & ~_TOP, ~n).view(np.float64), pa.float64())
 
-    return values.map(one)
 
+def f64(c: Column | str) -> Column:
+    """A double: positive values get the sign bit turned over, negative ones all bits; every NaN sorts after infinity. Null stays null."""
+    x = F.col(c) if isinstance(c, str) else c
+    return F.when(x.isNotNull(), _f64(x))
 
-@F.pandas_udf(T.DoubleType())
-def f64_decode(values: pd.Series) -> pd.Series:
-    def one(b: bytes) -> float:
-        n = int.from_bytes(b, "big")
-        return struct.unpack(">d", (n & ~(1 << 63) if n >> 63 else n ^ ((1 << 64) - 1)).to_bytes(8, "big"))[0]
 
-    return values.map(one, na_action="ignore")
+def f64_decode(b: Column | str) -> Column:
+    x = F.col(b) if isinstance(b, str) else b
+    return F.when(x.isNotNull(), _f64_decode(x))
 
 
 def render(b: Column, mode: str = "auto") -> Column:

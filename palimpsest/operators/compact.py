@@ -7,12 +7,10 @@ that stay are those from a sequence number on that a partial aggregation finds.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .log import COLUMNS, MERGE, TOMBSTONE, VALUE, LogError
+from .log import COLUMNS, MERGE, TOMBSTONE, VALUE
 from .merge_ops import MergeOperator
 
 
@@ -56,12 +54,13 @@ def collapse(log: DataFrame, merge: MergeOperator | None, barrier: int | None =
     return folded.select("key", kind.alias("kind"), F.when(F.col("_n") == 1, F.col("_value")).otherwise(F.col("_merged")).alias("value"), "seq", "create_ts", "expire_ts")
 
 
-def retain(log: DataFrame, now: int | None = None, min_seq: int | None = None, drop_tail: bool = False, timeout_ms: int | None = None, clock: int | None = None, row_time: Column | None = None) -> DataFrame:
+def retain(log: DataFrame, now: int | None = None, min_seq: int | None = None, drop_tail: bool = False, timeout_ms: int | None = None, clock: int | None = None, row_time: Column | None = None, keep_tombstones: int | None = None) -> DataFrame:
     """What retention leaves of each key's versions.
 
     Expired operands go, expired values become tombstones. The newest version stays, and so does every version that is an
     operand, lies beyond min_seq, or lies within the time window; the first that is none of these is the last one kept.
-    drop_tail removes tombstones below which nothing is left: only where the oldest run takes part.
+    drop_tail removes tombstones below which nothing is left: only where the oldest run takes part, and none beyond the
+    sequence number keep_tombstones, which an open transaction may still have to see.
     """
     expired = F.lit(False) if now is None else F.coalesce(F.col("expire_ts") <= now, F.lit(False))
     rows = log.where(~((F.col("kind") == MERGE) & expired))
@@ -79,7 +78,9 @@ def retain(log: DataFrame, now: int | None = None, min_seq: int | None = None, d
     rows = rows.join(found, "key").where(F.col("_last").isNull() | (F.col("seq") >= F.col("_last"))).select(*COLUMNS)
     if drop_tail:
         live = rows.where(F.col("kind") != TOMBSTONE).groupBy("key").agg(F.min("seq").alias("_live"))
-        rows = rows.join(live, "key").where(F.col("seq") >= F.col("_live")).select(*COLUMNS)
+        if keep_tombstones is None:
+            return rows.join(live, "key").where(F.col("seq") >= F.col("_live")).select(*COLUMNS)
+        rows = rows.join(live, "key", "left").where((F.col("seq") >= F.col("_live")) | (F.col("seq") > keep_tombstones)).select(*COLUMNS)
     return rows
 
 
@@ -95,12 +96,12 @@ def apply_filter(log: DataFrame, decide: Column, value: Column | None = None) ->
     return rows.select("key", kind.alias("kind"), F.when(kind != TOMBSTONE, new).alias("value"), "seq", "create_ts", F.when(kind != TOMBSTONE, F.col("expire_ts")).alias("expire_ts"))
 
 
-def compact(sources: list[DataFrame], merge: MergeOperator | None, now: int | None = None, barrier: int | None = None, min_seq: int | None = None, oldest: bool = False, decide: Column | None = None, value: Column | None = None) -> DataFrame:
+def compact(sources: list[DataFrame], merge: MergeOperator | None, now: int | None = None, barrier: int | None = None, min_seq: int | None = None, oldest: bool = False, decide: Column | None = None, value: Column | None = None, keep_tombstones: int | None = None) -> DataFrame:
     """Union, collapse, retention, filter. `oldest`: the sources include the oldest run of their segment."""
     rows = sources[0].select(*COLUMNS)
     for s in sources[1:]:
         rows = rows.unionByName(s.select(*COLUMNS))
-    out = retain(collapse(rows, merge, barrier), now, min_seq, oldest)
+    out = retain(collapse(rows, merge, barrier), now, min_seq, oldest, keep_tombstones=keep_tombstones)
     return out if decide is None else apply_filter(out, decide, value)
 
 
@@ -126,11 +127,3 @@ def collapse_batch(ops: DataFrame, merge: MergeOperator | None, seq: int, create
     kind = F.when(F.col("_n") == 1, F.col("_last")).when(F.col("_based"), VALUE).otherwise(MERGE)
     out = out.select("key", F.coalesce(clash, kind).alias("kind"), F.when(F.col("_n") == 1, F.col("_value")).otherwise(F.col("_merged")).alias("value"), F.lit(seq).cast("long").alias("seq"), F.lit(create_ts).cast("long").alias("create_ts"), "expire_ts")
     return out
-
-
-def require_oldest(includes_oldest: bool, drop_tail: bool) -> None:
-    if drop_tail and not includes_oldest:
-        raise LogError("tombstones may be dropped only where the oldest run takes part")
-
-
-Decider = Callable[[Column, Column], Column]

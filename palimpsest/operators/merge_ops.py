@@ -12,7 +12,7 @@ from functools import reduce as _fold
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,11 +22,20 @@ BATCH = 100
 
 @dataclass(frozen=True)
 class MergeOperator:
-    """agg(value, order, key) aggregates the values of one key, oldest to newest; null values (tombstones) are ignored."""
+    """agg(value, order, key) aggregates the values of one key, oldest to newest; null values (tombstones) are ignored.
+
+    Its results are values that it takes again, as flush and compaction fold part of a key's versions. Where a plain value is
+    not yet one (a count's is 1, a list's holds one element), enter makes it one, once, before it is written.
+    """
 
     name: str
     agg: Callable[[Column, Column, Column], Column]
     decomposable: bool = True
+    enter: Callable[[Column], Column] | None = None
+
+    def entered(self, log: DataFrame) -> DataFrame:
+        """A log or a batch of plain values as one of the operator's values."""
+        return log if self.enter is None else log.withColumn("value", F.when(F.col("value").isNotNull(), self.enter(F.col("value"))))
 
 
 def _some(value: Column, order: Column) -> Column:
@@ -40,20 +49,20 @@ def in_order(value: Column, order: Column) -> Column:
 
 
 SUM = MergeOperator("sum", lambda v, o, k: F.sum(v))
-COUNT = MergeOperator("count", lambda v, o, k: F.count(v))
+COUNT = MergeOperator("count", lambda v, o, k: F.sum(v), enter=lambda v: F.lit(1).cast("long"))
 MIN = MergeOperator("min", lambda v, o, k: F.min(v))
 MAX = MergeOperator("max", lambda v, o, k: F.max(v))
 FIRST = MergeOperator("first", lambda v, o, k: F.min_by(v, _some(v, o)))
 LAST = MergeOperator("last", lambda v, o, k: F.max_by(v, _some(v, o)))
 BALANCE = MergeOperator("balance", lambda v, o, k: F.sum(v))
-SET_UNION = MergeOperator("set_union", lambda v, o, k: F.array_sort(F.array_distinct(F.flatten(F.collect_set(v)))))
+SET_UNION = MergeOperator("set_union", lambda v, o, k: F.array_sort(F.array_distinct(F.flatten(F.collect_set(v)))), enter=F.array)
 
 
 def concat(separator: str = "") -> MergeOperator:
     return MergeOperator("concat", lambda v, o, k: F.array_join(in_order(v.cast("string"), o), separator), decomposable=False)
 
 
-APPEND = MergeOperator("append_list", lambda v, o, k: in_order(v, o), decomposable=False)
+APPEND = MergeOperator("append_list", lambda v, o, k: F.flatten(in_order(v, o)), decomposable=False, enter=F.array)
 
 
 def max_by_version(version: Callable[[Column], Column]) -> MergeOperator:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+
+from .log import LogError
 
 INTERVAL_S, CAPACITY = 60, 8192
 
@@ -37,12 +42,26 @@ def build_tracker(log: DataFrame, interval_s: int = INTERVAL_S, capacity: int =
     return log.sparkSession.createDataFrame(kept, "seq long, ts long")
 
 
-def _as_of(probes: DataFrame, tracker: DataFrame, probe: str, by: str, give: str, up: bool, out: str) -> DataFrame:
-    # the tracker has at most its capacity of rows: a proven bound for the broadcast
-    t = F.broadcast(tracker.select(F.col(by).alias("_by"), F.col(give).alias("_give")))
-    near = F.col("_by") >= F.col(probe) if up else F.col("_by") <= F.col(probe)
-    pick = F.min_by("_give", "_by") if up else F.max_by("_give", "_by")
-    return probes.select(probe).distinct().join(t, near, "left").groupBy(probe).agg(pick.alias(out))
+def _as_of(probes: DataFrame, tracker: DataFrame, probe: str, by: str, give: str, up: bool, out: str, capacity: int = CAPACITY) -> DataFrame:
+    kept = [r for r in tracker.select(by, give).limit(capacity + 1).collect() if r[0] is not None]
+    if len(kept) > capacity:
+        raise LogError(f"a tracker holds at most {capacity} samples: thin it with build_tracker()")
+    samples: dict[int, int] = {}
+    for at, value in sorted(kept, key=lambda r: (r[0], r[1]), reverse=up):
+        samples[at] = value  # of equal samples the first one upwards, the last one downwards
+    keys = np.array(sorted(samples), np.int64)
+    values = np.array([samples[k] for k in keys.tolist()], np.int64)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            asked = b.column(0)
+            x = asked.fill_null(0).to_numpy(zero_copy_only=False)
+            place = np.searchsorted(keys, x, "left") if up else np.searchsorted(keys, x, "right") - 1
+            none = (place < 0) | (place >= len(keys)) | asked.is_null().to_numpy(zero_copy_only=False)
+            found = values[np.clip(place, 0, max(len(keys) - 1, 0))] if len(keys) else np.zeros(len(x), np.int64)
+            yield pa.RecordBatch.from_arrays([asked, pa.array(found, pa.int64(), mask=none)], names=[probe, out])
+
+    return probes.select(F.col(probe).cast("long").alias(probe)).distinct().mapInArrow(look, StructType([StructField(probe, LongType()), StructField(out, LongType())]))
 
 
 def seq_to_ts(probes: DataFrame, tracker: DataFrame, probe: str = "seq", up: bool = True, out: str = "ts") -> DataFrame:

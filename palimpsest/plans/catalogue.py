@@ -7,9 +7,11 @@ everything else as values in whole cents.
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import codecs, ttl
 from ..functions.ranges import KeyRange, excluded, included
@@ -19,14 +21,17 @@ from ..operators import segments as G
 from ..operators import seqtime as Q
 from ..operators import txn as X
 from ..operators import visible as V
-from ..operators.log import MERGE, TOMBSTONE, VALUE, as_log
+from ..operators.log import COLUMNS, MERGE, TOMBSTONE, VALUE, as_log
 from ..sources import inspect
+from ..sources.store import Conflict, Fenced, Store
+from ..streaming import cdc
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 #: Parameters of the catalogue.
+#: A snapshot, a barrier and a retention bound are bounds by their nature; everything else reads whole tables.
 SEQ, BARRIER, MIN_SEQ = 9000, 5000, 7000
 NOW = 1_704_931_200_000  # ms
 DAY = 86_400_000
@@ -73,7 +78,7 @@ def ranked(log: DataFrame) -> DataFrame:
     return log.crossJoin(F.broadcast(last)).withColumn("source_rank", F.floor((F.col("_last") - F.col("seq")) / 1000)).drop("_last")
 
 
-_WITH = """WITH log AS (
+_WITH = """WITH RECURSIVE log AS (
   SELECT user_id AS key, CASE event_type WHEN 'error' THEN 'T' WHEN 'purchase' THEN 'M' ELSE 'V' END AS kind,
          CASE WHEN event_type <> 'error' THEN CAST(round(value * 100) AS BIGINT) END AS value, event_id + 1 AS seq, epoch_us(ts) // 1000 AS create_ts,
          CASE WHEN event_type <> 'error' AND event_id % 3 = 0 THEN epoch_us(ts) // 1000 + 86400000 * (1 + event_id % 7) END AS expire_ts,
@@ -169,19 +174,24 @@ def durability_min_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.visible(event_log(spark, sf_dir), M.SUM, V.read_bound(SEQ, 6500, remote=True, snapshot=8000))
 
 
-_TRACKER = ", tracker AS (SELECT create_ts // 3600000 * 3600 AS ts, min(seq) AS seq FROM log GROUP BY 1)"
+def _tracker_sql(interval_s: int) -> str:
+    return f""", secs AS MATERIALIZED (SELECT create_ts // 1000 AS ts, min(seq) AS seq FROM log GROUP BY 1),
+kept AS (SELECT 0 AS i, (SELECT min(ts) FROM secs) AS ts UNION ALL SELECT i + 1, (SELECT min(s.ts) FROM secs s WHERE s.ts >= kept.ts + {interval_s}) FROM kept WHERE (SELECT min(s.ts) FROM secs s WHERE s.ts >= kept.ts + {interval_s}) IS NOT NULL),
+halved AS (SELECT CASE WHEN max(i) < 8192 THEN 0 ELSE 1 + (max(i) - 8192) // 4096 END AS h FROM kept),
+entered AS (SELECT i, ts, CASE WHEN i <= 8192 THEN 0 ELSE (i - 8192 + 4095) // 4096 END AS j FROM kept),
+tracker AS MATERIALIZED (SELECT s.seq, s.ts FROM entered e CROSS JOIN halved JOIN secs s ON s.ts = e.ts WHERE (e.i - 4096 * e.j) % (1 << (h - e.j)) = 0)"""
 
 
-def _tracker(log: DataFrame) -> DataFrame:
-    """The first sequence number of each hour, under the hour's first second."""
-    return log.groupBy((F.floor(F.col("create_ts") / 3_600_000) * 3600).alias("ts")).agg(F.min("seq").alias("seq"))
+#: The lookups go over a tracker of a sample an hour, which SQL can follow step by step; tracker_sampling has the default interval.
+HOUR_S = 3600
+_TRACKER = _tracker_sql(HOUR_S)
 
 
 @_query(_TRACKER + f1(where="seq <= (SELECT seq FROM tracker WHERE ts <= 1704499200 ORDER BY ts DESC LIMIT 1)") + STATE)
 def time_travel_by_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = event_log(spark, sf_dir)
     probe = spark.createDataFrame([(1_704_499_200,)], "ts long")
-    bound = Q.ts_to_seq(probe, _tracker(log), up=False).select(F.col("seq").alias("_bound"))  # one row
+    bound = Q.ts_to_seq(probe, Q.build_tracker(log, HOUR_S), up=False).select(F.col("seq").alias("_bound"))  # one row
     seen = log.crossJoin(F.broadcast(bound)).where(F.col("seq") <= F.col("_bound"))
     return V.visible(seen.drop("_bound"), M.SUM)
 
@@ -211,7 +221,7 @@ def recency_scan_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _MERGES: dict[str, tuple[M.MergeOperator, str]] = {
     "sum": (M.SUM, "CAST(sum(value) AS BIGINT)"),
-    "count": (M.COUNT, "count(value)"),
+    "count": (M.COUNT, "CAST(sum(CASE WHEN value IS NOT NULL THEN 1 END) AS BIGINT)"),
     "min": (M.MIN, "min(value)"),
     "max": (M.MAX, "max(value)"),
     "first": (M.FIRST, "arg_min(value, seq) FILTER (WHERE value IS NOT NULL)"),
@@ -221,26 +231,44 @@ _MERGES: dict[str, tuple[M.MergeOperator, str]] = {
 }
 
 
-def _merge_query(name: str, op: M.MergeOperator, sql: str, seq: int | None) -> None:
+def _merge_query(name: str, op: M.MergeOperator, sql: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return V.visible(event_log(spark, sf_dir), op, seq)
+        return V.visible(op.entered(event_log(spark, sf_dir)), op)
 
-    run.__name__ = f"merge_{name}" if seq else f"merge_{name}_all"
-    _query(f1(sql, f"seq <= {seq}" if seq else "TRUE") + STATE)(run)
+    run.__name__ = f"merge_{name}"
+    _query(f1(sql) + STATE)(run)
 
 
 for _name, (_op, _sql) in _MERGES.items():
-    _merge_query(_name, _op, _sql, SEQ)
-    _merge_query(_name, _op, _sql, None)
+    _merge_query(_name, _op, _sql)
 
 
-@_query(f1(where="key < 100") + "SELECT key, create_ts, expire_ts, seq FROM state")
-def merge_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.visible(event_log(spark, sf_dir), M.SUM, keys=KeyRange(end=excluded(100))).select("key", "create_ts", "expire_ts", "seq")
+def _joined(df: DataFrame) -> DataFrame:
+    """Lists as text."""
+    return df.withColumn("value", F.array_join(F.col("value").cast("array<string>"), ",")) if df.schema["value"].dataType.typeName() == "array" else df
+
+
+def _after_compaction(name: str, op: M.MergeOperator, sql: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        log = op.entered(event_log(spark, sf_dir))
+        if op.name == "concat":
+            log = log.withColumn("value", F.col("value").cast("string"))
+        return _joined(V.visible(C.compact([log], op, oldest=True), op))
+
+    run.__name__ = f"merge_{name}_after_compaction"
+    _query(f1(sql) + STATE)(run)
+
+
+_LISTS = {
+    "append": (M.APPEND, "string_agg(CAST(value AS VARCHAR), ',' ORDER BY seq)"),
+    "set_union": (M.SET_UNION, "array_to_string(list_sort(list(DISTINCT value) FILTER (WHERE value IS NOT NULL)), ',')"),
+}
+for _name, (_op, _sql) in ({n: _MERGES[n] for n in ("count", "concat")} | _LISTS).items():
+    _after_compaction(_name, _op, _sql)
 
 
 @_query(f1() + "SELECT key, create_ts, expire_ts, seq FROM state")
-def merge_metadata_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def merge_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.visible(event_log(spark, sf_dir), M.SUM).select("key", "create_ts", "expire_ts", "seq")
 
 
@@ -250,28 +278,16 @@ def merge_routed_by_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.visible(event_log(spark, sf_dir), op)
 
 
-def _batch_sql(where: str) -> str:
-    return f""", ops AS (SELECT seq AS op_idx, kind, key, value FROM log WHERE {where}),
-    x AS (SELECT *, max(CASE WHEN kind <> 'M' THEN op_idx END) OVER (PARTITION BY key) AS base FROM ops)
+@_query(
+    """, x AS (SELECT seq AS op_idx, kind, key, value, max(CASE WHEN kind <> 'M' THEN seq END) OVER (PARTITION BY key) AS base FROM log)
     SELECT key, CASE WHEN count(*) = 1 THEN max(kind) WHEN bool_or(kind <> 'M') THEN 'V' ELSE 'M' END AS kind, CAST(sum(value) AS BIGINT) AS value, CAST(10001 AS BIGINT) AS seq
     FROM x WHERE base IS NULL OR op_idx >= base GROUP BY key"""
-
-
-def _batch(log: DataFrame) -> DataFrame:
-    op = F.when(F.col("kind") == VALUE, "put").when(F.col("kind") == MERGE, "merge").otherwise("delete")
-    ops = log.select(F.col("seq").alias("op_idx"), op.alias("op"), "key", "value", F.lit(None).cast("long").alias("expire_ts"))
-    return C.collapse_batch(ops, M.SUM, 10_001, NOW).select("key", "kind", "value", "seq")
-
-
-@_query(_batch_sql("seq <= 2000"))
+)
 def batch_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _batch(event_log(spark, sf_dir).where("seq <= 2000"))
-
-
-@_query(_batch_sql("TRUE"))
-def batch_collapse_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole log as one write batch."""
-    return _batch(event_log(spark, sf_dir))
+    op = F.when(F.col("kind") == VALUE, "put").when(F.col("kind") == MERGE, "merge").otherwise("delete")
+    ops = event_log(spark, sf_dir).select(F.col("seq").alias("op_idx"), op.alias("op"), "key", "value", F.lit(None).cast("long").alias("expire_ts"))
+    return C.collapse_batch(ops, M.SUM, 10_001, NOW).select("key", "kind", "value", "seq")
 
 
 # -- flush and compaction
@@ -319,7 +335,7 @@ def drop_tail_tombstones(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(_TRACKER + ", timed AS (SELECT *, (SELECT min(t.ts) FROM tracker t WHERE t.seq >= log.seq) * 1000 AS sys_ts FROM log)" + f3(window=f"coalesce(sys_ts, {NOW}) + {5 * DAY} > {NOW}", source="timed") + ROWS + "retained")
 def retention_time_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = event_log(spark, sf_dir)
-    times = Q.seq_to_ts(log.select("seq"), _tracker(log), up=True)
+    times = Q.seq_to_ts(log.select("seq"), Q.build_tracker(log, HOUR_S), up=True)
     timed = log.join(times, "seq", "left")
     return C.retain(timed, timeout_ms=5 * DAY, clock=NOW, row_time=F.col("ts") * 1000)
 
@@ -347,26 +363,15 @@ def strict_ttl_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.visible(event_log(spark, sf_dir), M.SUM).where(ttl.not_expired(F.col("expire_ts"), F.lit(NOW)))
 
 
-def _resolution_sql(where: str) -> str:
-    return f"""SELECT seq, CASE seq % 4 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN create_ts + seq * 1000 ELSE seq * 5 END AS expire_ts,
-    CASE WHEN seq % 4 = 0 THEN create_ts + 3600000 END AS default_expire_ts FROM log WHERE {where}"""
-
-
-def _resolution(log: DataFrame) -> DataFrame:
+@_query(
+    """SELECT seq, CASE seq % 4 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN create_ts + seq * 1000 ELSE seq * 5 END AS expire_ts,
+    CASE WHEN seq % 4 = 0 THEN create_ts + 3600000 END AS default_expire_ts FROM log"""
+)
+def ttl_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("seq") % 4
     kind = F.when(n == 0, "default").when(n == 1, "no_expiry").when(n == 2, "after_ms").otherwise("at_ms")
     value = F.when(n == 2, F.col("seq") * 1000).otherwise(F.col("seq") * 5)
-    return log.select("seq", ttl.expire_ts(kind, value, F.col("create_ts")).alias("expire_ts"), F.when(n == 0, ttl.expire_ts(kind, value, F.col("create_ts"), 3_600_000)).alias("default_expire_ts"))
-
-
-@_query(_resolution_sql("seq <= 5000"))
-def ttl_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _resolution(event_log(spark, sf_dir).where("seq <= 5000"))
-
-
-@_query(_resolution_sql("TRUE"))
-def ttl_resolution_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _resolution(event_log(spark, sf_dir))
+    return event_log(spark, sf_dir).select("seq", ttl.expire_ts(kind, value, F.col("create_ts")).alias("expire_ts"), F.when(n == 0, ttl.expire_ts(kind, value, F.col("create_ts"), 3_600_000)).alias("default_expire_ts"))
 
 
 # -- sequence numbers and time
@@ -376,11 +381,11 @@ def _lookup(name: str, up: bool, to_ts: bool) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         log = event_log(spark, sf_dir)
         if to_ts:
-            return Q.seq_to_ts(log.select((F.col("seq") * 7 % 12_000).alias("probe")), _tracker(log), "probe", up, "found")
-        return Q.ts_to_seq(log.select((F.floor(F.col("create_ts") / 1000) + 1800).alias("probe")), _tracker(log), "probe", up, "found")
+            return Q.seq_to_ts(log.select((F.col("seq") + 1).alias("probe")), Q.build_tracker(log, HOUR_S), "probe", up, "found")
+        return Q.ts_to_seq(log.select((F.floor(F.col("create_ts") / 1000) + 1800).alias("probe")), Q.build_tracker(log, HOUR_S), "probe", up, "found")
 
     run.__name__ = name
-    probe = "seq * 7 % 12000" if to_ts else "create_ts // 1000 + 1800"
+    probe = "seq + 1" if to_ts else "create_ts // 1000 + 1800"
     by, give = ("seq", "ts") if to_ts else ("ts", "seq")
     agg, cmp = ("arg_min", ">=") if up else ("arg_max", "<=")
     _query(_TRACKER + f", p AS (SELECT DISTINCT {probe} AS probe FROM log) SELECT probe, (SELECT {agg}(t.{give}, t.{by}) FROM tracker t WHERE t.{by} {cmp} p.probe) AS found FROM p")(run)
@@ -391,23 +396,8 @@ for _dir in ("up", "down"):
     _lookup(f"ts_to_seq_{_dir}", _dir == "up", False)
 
 
-@_query(
-    """WITH RECURSIVE secs AS (SELECT epoch_us(ts) // 1000000 AS ts, min(event_id) + 1 AS seq FROM events GROUP BY 1),
-    kept AS (SELECT (SELECT min(ts) FROM secs) AS ts UNION ALL SELECT (SELECT min(s.ts) FROM secs s WHERE s.ts >= kept.ts + 3600) FROM kept WHERE (SELECT min(s.ts) FROM secs s WHERE s.ts >= kept.ts + 3600) IS NOT NULL)
-    SELECT s.seq, s.ts FROM secs s JOIN kept k ON s.ts = k.ts"""
-)
+@_query(_tracker_sql(60) + " SELECT seq, ts FROM tracker")
 def tracker_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.build_tracker(event_log(spark, sf_dir), interval_s=3600)
-
-
-@_query(
-    """WITH RECURSIVE secs AS MATERIALIZED (SELECT epoch_us(ts) // 1000000 AS ts, min(event_id) + 1 AS seq FROM events GROUP BY 1),
-    kept AS (SELECT 0 AS i, (SELECT min(ts) FROM secs) AS ts UNION ALL SELECT i + 1, (SELECT min(s.ts) FROM secs s WHERE s.ts >= kept.ts + 60) FROM kept WHERE (SELECT min(s.ts) FROM secs s WHERE s.ts >= kept.ts + 60) IS NOT NULL),
-    halved AS (SELECT CASE WHEN max(i) < 8192 THEN 0 ELSE 1 + (max(i) - 8192) // 4096 END AS h FROM kept),
-    entered AS (SELECT i, ts, CASE WHEN i <= 8192 THEN 0 ELSE (i - 8192 + 4095) // 4096 END AS j FROM kept)
-    SELECT s.seq, s.ts FROM entered e CROSS JOIN halved JOIN secs s ON s.ts = e.ts WHERE (e.i - 4096 * e.j) % (1 << (h - e.j)) = 0"""
-)
-def tracker_sampling_60s(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At the default interval; beyond the capacity every second sample goes, the last one never."""
     return Q.build_tracker(event_log(spark, sf_dir))
 
@@ -415,28 +405,23 @@ def tracker_sampling_60s(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- transactions: a transaction per forty events, over users
 
 
-def _txns(spark: SparkSession, sf_dir: str, wrote: str = "kind <> 'V' and seq % 2 = 0", read: str = "kind = 'V' and seq % 5 = 0") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def _txns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     log = event_log(spark, sf_dir)
     t = F.floor(F.col("seq") / 40)
     txns = log.groupBy(t.alias("txn_id")).agg(F.min("seq").alias("started_seq"), (F.max("seq") + 25).alias("committed_seq")).withColumn("isolation", F.when(F.col("txn_id") % 2 == 0, "SSI").otherwise("SI"))
-    writes = log.where(wrote).select(t.alias("txn_id"), "key").distinct()
-    reads = log.where(read).select(t.alias("txn_id"), "key").distinct()
+    writes = log.where("kind <> 'V'").select(t.alias("txn_id"), "key").distinct()
+    reads = log.where("kind = 'V'").select(t.alias("txn_id"), "key").distinct()
     ranges = txns.select("txn_id", (F.col("txn_id") * 13 % 140).alias("lo"), (F.col("txn_id") * 13 % 140 + 3).alias("hi"), F.lit(False).alias("lo_open"), F.lit(True).alias("hi_open"))
     return txns, writes, reads, ranges
 
 
-def _txn_sql(wrote: str, read: str) -> str:
-    return f""", txns AS (SELECT seq // 40 AS txn_id, min(seq) AS started_seq, max(seq) + 25 AS committed_seq, CASE WHEN (seq // 40) % 2 = 0 THEN 'SSI' ELSE 'SI' END AS isolation FROM log GROUP BY seq // 40),
-writes AS (SELECT DISTINCT seq // 40 AS txn_id, key FROM log WHERE {wrote}), reads AS (SELECT DISTINCT seq // 40 AS txn_id, key FROM log WHERE {read}),
+#: All tombstones and operands write, all values are read.
+_TXN = """, txns AS (SELECT seq // 40 AS txn_id, min(seq) AS started_seq, max(seq) + 25 AS committed_seq, CASE WHEN (seq // 40) % 2 = 0 THEN 'SSI' ELSE 'SI' END AS isolation FROM log GROUP BY seq // 40),
+writes AS (SELECT DISTINCT seq // 40 AS txn_id, key FROM log WHERE kind <> 'V'), reads AS (SELECT DISTINCT seq // 40 AS txn_id, key FROM log WHERE kind = 'V'),
 others AS (SELECT w.txn_id AS other, w.key AS other_key, t.committed_seq AS other_seq FROM writes w JOIN txns t USING (txn_id)),
 ranges AS (SELECT txn_id, txn_id * 13 % 140 AS lo, txn_id * 13 % 140 + 3 AS hi FROM txns) """
 
 
-#: All tombstones and operands write, all values are read.
-_EVERY = ("kind <> 'V'", "kind = 'V'")
-_TXN, _TXN_ALL = _txn_sql("kind <> 'V' AND seq % 2 = 0", "kind = 'V' AND seq % 5 = 0"), _txn_sql(*_EVERY)
-
-
 _WW = "SELECT DISTINCT w.txn_id, w.key FROM writes w JOIN txns t USING (txn_id) JOIN others o ON o.other_key = w.key AND o.other_seq > t.started_seq AND o.other <> w.txn_id"
 _RW = "SELECT DISTINCT w.txn_id, w.key FROM reads w JOIN txns t ON w.txn_id = t.txn_id AND t.isolation = 'SSI' JOIN others o ON o.other_key = w.key AND o.other_seq > t.started_seq AND o.other <> w.txn_id"
 _PHANTOM = "SELECT DISTINCT r.txn_id, r.lo, r.hi FROM ranges r JOIN txns t ON r.txn_id = t.txn_id AND t.isolation = 'SSI' JOIN others o ON o.other_key >= r.lo AND o.other_key < r.hi AND o.other_seq > t.started_seq AND o.other <> r.txn_id"
@@ -467,30 +452,6 @@ def txn_committable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.committable(txns, X.write_conflicts(txns, writes)).select("txn_id")
 
 
-@_query(_TXN_ALL + _WW)
-def txn_ww_conflicts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    txns, writes, _, _ = _txns(spark, sf_dir, *_EVERY)
-    return X.write_conflicts(txns, writes)
-
-
-@_query(_TXN_ALL + _RW)
-def txn_rw_conflicts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    txns, writes, reads, _ = _txns(spark, sf_dir, *_EVERY)
-    return X.read_conflicts(txns, reads, writes)
-
-
-@_query(_TXN_ALL + _PHANTOM)
-def txn_phantom_conflicts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    txns, writes, _, ranges = _txns(spark, sf_dir, *_EVERY)
-    return X.phantom_conflicts(txns, ranges, writes, width=8)
-
-
-@_query(_TXN_ALL + _FREE)
-def txn_committable_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    txns, writes, _, _ = _txns(spark, sf_dir, *_EVERY)
-    return X.committable(txns, X.write_conflicts(txns, writes)).select("txn_id")
-
-
 # -- segments, projection, union
 
 
@@ -499,9 +460,16 @@ def segment_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.listing(event_log(spark, sf_dir))
 
 
-@_query(f1(where="segment IN (2, 3)") + STATE)
+@_query(f1(where="key = 23") + STATE)
 def segment_pruned_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.visible(event_log(spark, sf_dir), M.SUM, where=F.col("segment").isin(2, 3))
+    """A key of a segmented store: only its segment's files are read."""
+    store = _loaded(spark, sf_dir, segment=lambda k: F.floor(k / 10))
+    store.flush()
+    m = store.manifest()
+    pruned = store.pruned(m, KeyRange.point(23))
+    if len(m.files) > 1 and len(pruned.files) > 1:
+        raise AssertionError("other segments would be read")
+    return store.get(23)
 
 
 _PREFIXES = "SELECT DISTINCT substr(c_name, 1, CASE WHEN c_custkey % 40 = 0 THEN 15 ELSE 18 END) AS prefix FROM customer"
@@ -531,22 +499,10 @@ def overlap_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bounds.join(met, "name", "left").select("name", F.coalesce("overlaps", F.lit(False)).alias("overlaps"))
 
 
-def _depth_sql(where: str) -> str:
-    return f", f AS (SELECT seq // 50 AS f, min(key) AS lo, max(key) AS hi FROM log WHERE {where} GROUP BY 1)" + ", e AS (SELECT DISTINCT lo AS at FROM f) SELECT max(n) AS depth FROM (SELECT (SELECT count(*) FROM f WHERE f.lo <= e.at AND f.hi >= e.at) AS n FROM e)"
-
-
-def _depth(log: DataFrame) -> DataFrame:
-    return G.overlap_depth(log.groupBy(F.floor(F.col("seq") / 50)).agg(F.min("key").alias("lo"), F.max("key").alias("hi")))
-
-
-@_query(_depth_sql("key % 3 = 0"))
+@_query(", f AS (SELECT seq // 50 AS f, min(key) AS lo, max(key) AS hi FROM log GROUP BY 1), e AS (SELECT DISTINCT lo AS at FROM f) SELECT max(n) AS depth FROM (SELECT (SELECT count(*) FROM f WHERE f.lo <= e.at AND f.hi >= e.at) AS n FROM e)")
 def l0_overlap_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _depth(event_log(spark, sf_dir).where("key % 3 = 0"))
-
-
-@_query(_depth_sql("TRUE"))
-def l0_overlap_depth_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _depth(event_log(spark, sf_dir))
+    files = event_log(spark, sf_dir).groupBy(F.floor(F.col("seq") / 50)).agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
+    return G.overlap_depth(files)
 
 
 # -- inspection
@@ -564,42 +520,158 @@ def file_index_lower_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inspect.lower_bound(inspect.index(event_log(spark, sf_dir), by="segment"), 77, by="segment")
 
 
-# -- change data capture
+# -- stores
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share; it goes when the driver ends."""
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="checkpoints-")
+    path = f"{root.rstrip('/')}/stores/{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
+#: The events in four parts of equal spans of sequence numbers, as four write batches.
+PARTS = 4
+_PART = f", part AS (SELECT *, (seq - 1) // (1 + (SELECT max(seq) - 1 FROM log) // {PARTS}) + 1 AS batch FROM log)"
+
+
+def _parts(log: DataFrame) -> list[DataFrame]:
+    last = log.agg(F.max("seq")).first()[0] or 0
+    span = 1 + (last - 1) // PARTS
+    return [log.where((F.col("seq") > span * k) & (F.col("seq") <= span * (k + 1))) for k in range(PARTS)]
+
+
+def _store(spark: SparkSession, **options: Any) -> Store:
+    return Store(spark, _scratch(spark), M.SUM, key=T.LongType(), value=T.LongType(), **options).open_writer()
+
 
+def _loaded(spark: SparkSession, sf_dir: str, **options: Any) -> Store:
+    store = _store(spark, **options)
+    for part in _parts(event_log(spark, sf_dir)):
+        store.load(part)
+    return store
 
-@_query("SELECT (seq - 1) // 500 + 1 AS batch, count(*) AS rows, min(seq) AS first_seq, max(seq) AS last_seq, CAST(sum(value) AS BIGINT) AS total FROM log GROUP BY 1")
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@_query(_PART + " SELECT batch, count(*) AS rows, min(seq) AS first_seq, max(seq) AS last_seq, CAST(sum(value) AS BIGINT) AS total FROM part GROUP BY 1")
 def cdc_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return event_log(spark, sf_dir).groupBy((F.floor((F.col("seq") - 1) / 500) + 1).alias("batch")).agg(F.count(F.lit(1)).alias("rows"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.sum("value").alias("total"))
+    found = [rows.agg(F.lit(n).cast("long").alias("batch"), F.count(F.lit(1)).alias("rows"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.sum("value").alias("total")) for n, rows in cdc.batches(_loaded(spark, sf_dir))]
+    return _all(found)
 
 
-@_query("SELECT key, kind, value, seq FROM log WHERE (seq - 1) // 500 + 1 > 15")
+@_query(_PART + " SELECT key, kind, value, seq FROM part WHERE batch > 2")
 def cdc_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return event_log(spark, sf_dir).where(F.floor((F.col("seq") - 1) / 500) + 1 > 15).select("key", "kind", "value", "seq")
+    """What a cursor after the second batch still has to see."""
+    return _all([rows for _, rows in cdc.batches(_loaded(spark, sf_dir), cursor=2)]).select("key", "kind", "value", "seq")
 
 
-@_query("SELECT key, kind, value, seq, create_ts, expire_ts FROM log WHERE seq > 7500")
+@_query(_PART + " " + ROWS + "part WHERE batch > 2")
 def wal_replay_after_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return event_log(spark, sf_dir).where("seq > 7500").select("key", "kind", "value", "seq", "create_ts", "expire_ts")
+    """What opening a store replays: the batches since the last flush."""
+    store = _store(spark)
+    for k, part in enumerate(_parts(event_log(spark, sf_dir))):
+        store.load(part)
+        if k == 1:
+            store.flush()
+    return store.replay()
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share."""
-    import tempfile
-    import uuid
+@_query(f1() + STATE)
+def store_compacted_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible state after four flushes, a compaction and a fifth of the files in the write-ahead log."""
+    store = _store(spark)
+    for k, part in enumerate(_parts(event_log(spark, sf_dir))):
+        store.load(part)
+        if k < 3:
+            store.flush()
+    store.compact()
+    return store.scan()
+
+
+@_query(_PART + f1(where="batch <= 2", source="part") + STATE)
+def store_snapshot_after_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A snapshot of the first half, read after the rest was written, flushed and compacted."""
+    store, parts = _store(spark), _parts(event_log(spark, sf_dir))
+    for part in parts[:2]:
+        store.load(part)
+    snapshot = store.snapshot()
+    for part in parts[2:]:
+        store.load(part)
+        store.flush()
+    store.compact()
+    store.collect_garbage(min_age_ms=0)
+    return snapshot.scan()
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-")
-    return f"{root.rstrip('/')}/streams/{uuid.uuid4().hex}"
+
+@_query(f1() + STATE)
+def store_fencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A writer that was taken over can neither add nor destroy anything."""
+    store = _loaded(spark, sf_dir)
+    other = Store(spark, store.root, M.SUM, key=T.LongType(), value=T.LongType()).open_writer()
+    try:
+        store.put(1, 1)
+    except Fenced:
+        return other.scan()
+    raise AssertionError("the older writer was not fenced")
+
+
+_ASKED = (1, 2, 3, 10**9)
+
+
+@_query(_PART + f" SELECT k AS key, EXISTS (SELECT 1 FROM part WHERE batch > 2 AND key = k) AS conflict FROM (SELECT unnest([{', '.join(map(str, _ASKED))}]) AS k)")
+def store_txn_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transactions begun after the first half, each writing one key, committed after the rest was written and compacted."""
+    store, parts = _store(spark), _parts(event_log(spark, sf_dir))
+    for part in parts[:2]:
+        store.load(part)
+    open_ = [(k, store.begin()) for k in _ASKED]
+    for part in parts[2:]:
+        store.load(part)
+        store.flush()
+    store.compact()
+    rows = []
+    for k, t in open_:
+        t.put(k, 5)
+        try:
+            t.commit()
+            rows.append((k, False))
+        except Conflict:
+            t.rollback()
+            rows.append((k, True))
+    return spark.createDataFrame(rows, "key long, conflict boolean")
+
+
+@_query(f1(where="key < 50") + STATE)
+def store_clone_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two clones of a store, clipped to neighbouring ranges of keys, made one again."""
+    store = _loaded(spark, sf_dir)
+    store.flush()
+    left, right = store.clone(_scratch(spark), clip="key < 20"), store.clone(_scratch(spark), clip="key >= 20 and key < 50")
+    return Store.union(_scratch(spark), [left, right]).scan()
 
 
 @_query(f1() + STATE)
 def cdc_materialize_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The log written as ten batches, consumed by a stream with an idempotent sink, and read back."""
-    from ..operators.log import COLUMNS
-    from ..streaming import cdc
-
+    """The log written as four folders, consumed by a stream with an idempotent sink, and read back."""
     root = _scratch(spark)
     log = event_log(spark, sf_dir).select(*COLUMNS)
-    log.withColumn("batch", F.floor(F.col("seq") / 1000)).repartition("batch").write.partitionBy("batch").parquet(f"{root}/wal")
+    for k, part in enumerate(_parts(log), 1):
+        part.write.parquet(f"{root}/wal/{k:020d}")
     rows = cdc.stream(spark, f"{root}/wal", log.schema).drop("batch")
     cdc.materialize_latest(rows, f"{root}/sink", f"{root}/state").awaitTermination()
     return V.visible(spark.read.schema(log.schema).option("recursiveFileLookup", "true").parquet(f"{root}/sink"), M.SUM)
@@ -608,51 +680,47 @@ def cdc_materialize_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- housekeeping
 
 
-@_query(", used AS (SELECT DISTINCT segment FROM log WHERE seq > 9000 AND key % 7 = 0) SELECT DISTINCT segment FROM log WHERE segment NOT IN (SELECT segment FROM used)")
+@_query("SELECT * FROM (VALUES ('data', CAST(3 AS BIGINT)), ('wal', CAST(3 AS BIGINT))) AS t(folder, unused)")
 def gc_unreferenced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = event_log(spark, sf_dir)
-    return log.select("segment").distinct().join(log.where("seq > 9000 and key % 7 = 0").select("segment").distinct(), "segment", "left_anti")
-
-
-@_query(f"SELECT seq AS checkpoint_id, key AS name, create_ts, expire_ts FROM log WHERE seq % 100 = 0 AND kind <> 'T' AND (expire_ts IS NULL OR expire_ts > {NOW})")
+    """After three flushes, a compaction and a fourth batch: three files and three batches that nothing needs any more."""
+    store = _store(spark)
+    for k, part in enumerate(_parts(event_log(spark, sf_dir))):
+        store.load(part)
+        if k < 3:
+            store.flush()
+    store.compact()
+    old = [p.removeprefix(store.root + "/").split("/")[0] for p in store.collect_garbage(min_age_ms=0, dry_run=True)]
+    return spark.createDataFrame([(n, old.count(n)) for n in ("data", "wal")], "folder string, unused long")
+
+
+@_query(_PART + f" SELECT 'c' || batch AS name, max(seq) AS seq, CASE WHEN batch < 4 THEN CAST({NOW} + batch * 1000 AS BIGINT) END AS expire_ts FROM part WHERE batch > 2 GROUP BY batch")
 def checkpoint_list_live(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = event_log(spark, sf_dir).where("seq % 100 = 0 and kind <> 'T'")
-    return c.where(ttl.not_expired(F.col("expire_ts"), F.lit(NOW))).select(F.col("seq").alias("checkpoint_id"), F.col("key").alias("name"), "create_ts", "expire_ts")
+    """A checkpoint after each batch, the later the longer; two seconds on, the first two are over."""
+    store = _store(spark)
+    for k, part in enumerate(_parts(event_log(spark, sf_dir)), 1):
+        store.load(part)
+        store.create_checkpoint(f"c{k}", k * 1000 if k < PARTS else None, NOW)
+    return inspect.checkpoints(store, NOW + 2000).select("name", "seq", "expire_ts")
 
 
 _BANK_BOUNDS = (1000, 3000, 5000, 7000, 9000, 10000)
 
 
-def _bank_sql(bounds: str) -> str:
-    return f""", bounds AS ({bounds}),
+@_query(
+    f""", bounds AS (SELECT unnest([{', '.join(map(str, _BANK_BOUNDS))}]) AS bound UNION SELECT max(seq) FROM log),
     legs AS (SELECT key, -(value % 100) AS delta, seq FROM log WHERE value IS NOT NULL UNION ALL SELECT (key + 1) % 150 AS key, value % 100 AS delta, seq FROM log WHERE value IS NOT NULL)
     SELECT bound, CAST(sum(delta) AS BIGINT) AS total, count(DISTINCT key) AS accounts FROM bounds JOIN legs ON legs.seq <= bound GROUP BY bound"""
-
-
-def _bank(log: DataFrame, bounds: list[int]) -> DataFrame:
+)
+def bank_total_invariant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transfers as paired operands: the total is zero at every bound, the last sequence number among them."""
+    log = event_log(spark, sf_dir)
+    last = log.agg(F.max("seq").alias("last")).first().last
     log = log.where("value is not null")
     amount = F.col("value") % 100
     legs = log.select("seq", "create_ts", "expire_ts", F.explode(F.array(F.struct(F.col("key").alias("key"), (-amount).alias("value")), F.struct(((F.col("key") + 1) % 150).alias("key"), amount.alias("value")))).alias("leg"))
     legs = legs.select(F.col("leg.key").alias("key"), F.lit(MERGE).alias("kind"), F.col("leg.value").alias("value"), "seq", "create_ts", "expire_ts")
-    out = None
-    for bound in bounds:
-        view = V.visible(legs, M.BALANCE, bound).agg(F.sum("value").alias("total"), F.count(F.lit(1)).alias("accounts")).select(F.lit(bound).alias("bound"), "total", "accounts")
-        out = view if out is None else out.unionByName(view)
-    return out
-
-
-@_query(_bank_sql(f"SELECT unnest([{', '.join(map(str, _BANK_BOUNDS))}]) AS bound"))
-def bank_total_invariant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Transfers as paired operands: the total is zero at every bound."""
-    return _bank(event_log(spark, sf_dir), list(_BANK_BOUNDS))
-
-
-@_query(_bank_sql(f"SELECT unnest([{', '.join(map(str, _BANK_BOUNDS))}]) AS bound UNION SELECT max(seq) FROM log"))
-def bank_total_invariant_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same, and at the last sequence number of the log."""
-    log = event_log(spark, sf_dir)
-    last = log.agg(F.max("seq").alias("last")).first().last
-    return _bank(log, sorted({*_BANK_BOUNDS, *([] if last is None else [last])}))
+    views = [V.visible(legs, M.BALANCE, bound).agg(F.sum("value").alias("total"), F.count(F.lit(1)).alias("accounts")).select(F.lit(bound).alias("bound"), "total", "accounts") for bound in sorted({*_BANK_BOUNDS, *([] if last is None else [last])})]
+    return _all(views)
 
 
 # -- codecs
@@ -669,25 +737,32 @@ def codec_roundtrip_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.select("seq", F.hex(u).alias("u64_hex"), F.hex(i).alias("i64_hex"), F.hex(codecs.text(F.col("event_type"))).alias("text_hex"), codecs.u64_decode(u).alias("u64_back"), codecs.i64_decode(i).alias("i64_back"))
 
 
-@_query("SELECT event_id, value AS back, row_number() OVER (ORDER BY value, event_id) AS place FROM events WHERE value IS NOT NULL")
+@_query("SELECT event_id, user_id, value AS back, row_number() OVER (PARTITION BY user_id ORDER BY value NULLS FIRST, event_id) AS place FROM events")
 def codec_f64_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("value is not null").select("event_id", codecs.f64("value").alias("k"))
-    w = Window.orderBy("k", "event_id")  # a report on one small table
-    return e.select("event_id", codecs.f64_decode("k").alias("back"), F.row_number().over(w).cast("long").alias("place"))
+    """Each user's values in the order of their encoded keys; nulls stay null and come first."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", codecs.f64("value").alias("k"))
+    w = Window.partitionBy("user_id").orderBy(F.asc_nulls_first("k"), "event_id")
+    return e.select("event_id", "user_id", codecs.f64_decode("k").alias("back"), F.row_number().over(w).cast("long").alias("place"))
 
 
-@_query(f1() + "SELECT count(*) AS rows, CAST(sum(length(CAST(key AS VARCHAR))) AS BIGINT) AS key_bytes, CAST(sum(length(CAST(value AS VARCHAR))) AS BIGINT) AS value_bytes FROM state")
+@_query("WITH s AS (SELECT o_custkey, arg_max(o_orderstatus, o_orderkey) AS v FROM orders GROUP BY 1) SELECT count(*) AS rows, CAST(sum(strlen(CAST(o_custkey AS VARCHAR))) AS BIGINT) AS key_bytes, CAST(sum(strlen(v)) AS BIGINT) AS value_bytes FROM s")
 def cli_count_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    size: Callable[[str], Column] = lambda c: F.sum(F.octet_length(F.col(c).cast("string"))).cast("long")
-    return V.visible(event_log(spark, sf_dir), M.SUM).agg(F.count(F.lit(1)).alias("rows"), size("key").alias("key_bytes"), size("value").alias("value_bytes"))
+    """The command line's scan --count over a store of orders."""
+    from ..__main__ import counted
+
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    store = Store(spark, _scratch(spark)).open_writer()
+    binary = lambda c: codecs.text(F.col(c).cast("string"))
+    store.load(as_log(o, binary("o_custkey"), F.lit(VALUE), binary("o_orderstatus"), F.col("o_orderkey") + 1))
+    return counted(store.scan())
 
 
 @_query(
     ", c AS (SELECT conv_id AS key, turn, role || ':' || length(text) AS part FROM conversations) SELECT key, string_agg(part, '|' ORDER BY turn, part) AS value, count(*) AS parts FROM c GROUP BY key"
 )
 def merge_append_conversation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ordered concat: a conversation's turns folded into one value."""
+    """A conversation's turns appended to a list."""
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     part = F.concat(F.col("role"), F.lit(":"), F.char_length("text").cast("string"))
-    joined = M.concat("|").agg(part, F.struct(F.col("turn"), part), F.col("conv_id"))
-    return c.groupBy(F.col("conv_id").alias("key")).agg(joined.alias("value"), F.count(F.lit(1)).alias("parts"))
+    log = as_log(c, F.col("conv_id"), F.lit(MERGE), part, F.col("turn"), op_idx=part)
+    return V.visible(M.APPEND.entered(log), M.APPEND).select("key", F.array_join("value", "|").alias("value"), F.size("value").cast("long").alias("parts"))

@@ -20,7 +20,10 @@ class Settings:
     tracker_capacity: int = 8192
     compression: str = "zstd"
     bloom_filter: bool = True
-    max_files_per_trigger: int | None = None
+    most_unflushed: int = 1000
+    most_level0: int = 256
+    snapshot_lifetime_ms: int = 900_000
+    max_batches_per_trigger: int | None = None
 
     @classmethod
     def load(cls, path: str | None = None, prefix: str = "PALIMPSEST_", environment: dict[str, str] | None = None) -> Settings:

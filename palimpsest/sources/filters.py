@@ -48,6 +48,7 @@ class BloomPolicy:
     def __init__(self, prefix: FixedPrefix | DelimitedPrefix | None = None, expected: int = 1_000_000, error: float = 0.01) -> None:
         self.prefix, self.expected, self.error = prefix, expected, error
         self.name = "bloom" if prefix is None else f"bloom:{prefix.name}"
+        self.asked: tuple[Any, int] | None = None  # the last key and its hash: a read asks every file for the same one
 
     def build(self, rows: DataFrame) -> str:
         part = F.col("key") if self.prefix is None else self.prefix.column(F.col("key"))
@@ -62,7 +63,9 @@ class BloomPolicy:
         wanted = point if self.prefix is None else self.prefix.of(point) if point is not None else self.prefix.shared(keys)
         if wanted is None:
             return True
-        h = spark.range(1).select(F.xxhash64(F.lit(wanted))).first()[0]
+        if self.asked is None or self.asked[0] != wanted:
+            self.asked = (wanted, spark.range(1).select(F.xxhash64(F.lit(wanted))).first()[0])
+        h = self.asked[1]
         raw = bytearray(base64.b64decode(sketch))
         stream = spark._jvm.java.io.ByteArrayInputStream(raw)
         return bool(spark._jvm.org.apache.spark.util.sketch.BloomFilter.readFrom(stream).mightContainLong(h))

@@ -59,8 +59,9 @@ def files(store: Store) -> DataFrame:
 
 
 def wal_files(store: Store) -> DataFrame:
-    """Write batches that are still there."""
-    rows = [(int(n), store.files.size(f"{store.root}/wal/{n}"), t) for n, t in store.files.names(f"{store.root}/wal")]
+    """Committed write batches that are still there."""
+    times = dict(store.files.names(f"{store.root}/wal"))
+    rows = [(w["number"], store.files.size(w["path"]), times.get(w["path"].rsplit("/", 1)[-1])) for w in store.manifest().wal]
     return store.spark.createDataFrame(rows, "batch long, size long, written_ms long")
 
 
@@ -70,7 +71,7 @@ def segments(store: Store) -> DataFrame:
 
 def status(store: Store) -> DataFrame:
     m = store.manifest()
-    row = (m.id, m.epoch, m.last_seq, m.persisted_seq, m.next_wal - 1 - m.replayed_wal, len(m.files))
+    row = (m.id, m.epoch, m.last_seq, m.persisted_seq, len(m.unflushed()), len(m.files))
     return store.spark.createDataFrame([row], "manifest_id long, writer_epoch long, last_seq long, persisted_seq long, unflushed_batches long, files int")
 
 

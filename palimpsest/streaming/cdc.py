@@ -22,11 +22,11 @@ class Truncated(LogError):
 def batches(store: Store, cursor: int = 0) -> Iterator[tuple[int, DataFrame]]:
     """(number, rows) of every write batch after the cursor. A batch is whole: all rows of its sequence numbers."""
     m = store.manifest()
-    there = {int(n) for n, _ in store.files.names(f"{store.root}/wal")}
+    there = {w["number"]: w["path"] for w in m.wal}
     for n in range(cursor + 1, m.next_wal):
         if n not in there:
             raise Truncated(f"write batch {n} has been removed")
-        yield n, store.spark.read.schema(store.schema).parquet(f"{store.root}/wal/{n:020d}").orderBy("seq", "key")
+        yield n, store.wal.read(store.spark, store.schema, [there[n]]).orderBy("seq", "key")
 
 
 def consume(store: Store, sink: Callable[[DataFrame, int], Any], cursor: int = 0) -> int:
@@ -38,10 +38,25 @@ def consume(store: Store, sink: Callable[[DataFrame, int], Any], cursor: int = 0
 
 
 def stream(spark: Any, folder: str, schema: T.StructType, max_files: int | None = None) -> DataFrame:
-    """A folder of Parquet batches as an unbounded table, with the number of the batch. max_files bounds a micro-batch."""
+    """A folder of Parquet batches as an unbounded table, with the number of the batch. max_files bounds a micro-batch.
+
+    For folders that other tools fill: every finished folder counts, and the files of a batch may come in several
+    micro-batches. A store's own batches are followed by follow(), whole and committed only.
+    """
     reader = spark.readStream.schema(schema).option("recursiveFileLookup", "true")
     rows = (reader if max_files is None else reader.option("maxFilesPerTrigger", max_files)).parquet(folder)
-    return rows.withColumn("batch", F.regexp_extract(F.input_file_name(), r"/(\d{20})/", 1).cast("long"))
+    return rows.withColumn("batch", F.regexp_extract(F.input_file_name(), r"/(\d{20})[^/]*/", 1).cast("long"))
+
+
+def follow(store: Store, after: int = 0) -> DataFrame:
+    """The committed batches of a store as an unbounded table, whole and in order (streaming/source.py)."""
+    from . import source
+
+    source.register(store.spark)
+    kind = T.StructType([T.StructField("batch", T.LongType()), *[T.StructField(f.name, f.dataType) for f in store.schema]])
+    reader = store.spark.readStream.format("palimpsest_wal").schema(kind).option("path", store.root).option("after", str(after))
+    most = store.settings.max_batches_per_trigger
+    return (reader if most is None else reader.option("maxBatches", str(most))).load()
 
 
 def materialize_latest(rows: DataFrame, target: str, checkpoint: str, trigger: dict | None = None) -> Any:

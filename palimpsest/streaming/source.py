@@ -1,12 +1,13 @@
 """A streaming source over a store's write batches: spark.readStream.format("palimpsest_wal").
 
-The offset is the number of a batch, so that a micro-batch always holds whole batches, in order, and a batch that has
-been removed is an error rather than a gap. Readers open the files directly: the store must lie on a file system that every
+The offset is the number of a batch that a manifest lists, so that a micro-batch always holds whole committed batches, in
+order, and a batch that has been removed is an error rather than a gap. Readers open the files directly: the store must lie on a file system that every
 executor mounts. For other stores use cdc.stream(), which reads through Spark.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from pathlib import Path
@@ -23,7 +24,7 @@ class Batch(InputPartition):
 
 class WalReader(DataSourceStreamReader):
     def __init__(self, options: dict[str, str], schema: StructType) -> None:
-        self.root = Path(options["path"].removeprefix("file:")) / "wal"
+        self.root = Path(options["path"].removeprefix("file:"))
         self.first, self.most = int(options.get("after", "0")), int(options.get("maxbatches", options.get("maxBatches", "1000000000")))
         self.names = [f.name for f in schema.fields if f.name != "batch"]
         self.at = self.first
@@ -31,18 +32,23 @@ class WalReader(DataSourceStreamReader):
     def initialOffset(self) -> dict:
         return {"batch": self.first}
 
+    def _manifest(self) -> dict:
+        names = sorted(os.listdir(self.root / "manifest")) if (self.root / "manifest").exists() else []
+        names = [n for n in names if n.endswith(".json") and not n.startswith(".")]
+        return json.loads((self.root / "manifest" / names[-1]).read_text()) if names else {"next_wal": 1, "wal": []}
+
     def latestOffset(self) -> dict:
-        done = [int(n) for n in os.listdir(self.root) if n.isdigit() and (self.root / n / "_SUCCESS").exists()] if self.root.exists() else []
-        self.at = min(max([self.at, *done]), self.at + self.most)
+        self.at = min(max(self.at, self._manifest()["next_wal"] - 1), self.at + self.most)
         return {"batch": self.at}
 
     def partitions(self, start: dict, end: dict) -> list[Batch]:
         self.at = max(self.at, end["batch"])
+        there = {w["number"]: w["path"].removeprefix("file:") for w in self._manifest()["wal"]}
         out = []
         for n in range(start["batch"] + 1, end["batch"] + 1):
-            if not (self.root / f"{n:020d}").exists():
+            if n not in there:
                 raise FileNotFoundError(f"write batch {n} has been removed")
-            out.append(Batch(str(self.root / f"{n:020d}"), n))
+            out.append(Batch(there[n], n))
         return out
 
     def read(self, partition: Batch) -> Iterator:

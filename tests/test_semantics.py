@@ -122,7 +122,7 @@ def test_merge_operators(spark):
     log = spark.createDataFrame(rows, LOG)
     expected = {"sum": {1: 15, 2: 4}, "count": {1: 3, 2: 1}, "min": {1: 3, 2: 4}, "max": {1: 7, 2: 4}, "first": {1: 5, 2: 4}, "last": {1: 3, 2: 4}, "append_list": {1: [5, 7, 3], 2: [4]}, "concat": {1: "573", 2: "4"}}
     for name, want in expected.items():
-        assert {r.key: r.value for r in V.visible(log, M.REGISTRY[name]).collect()} == want, name
+        assert {r.key: r.value for r in V.visible(M.REGISTRY[name].entered(log), M.REGISTRY[name]).collect()} == want, name
     product = M.custom(lambda a, b: a * b, T.LongType())
     assert {r.key: r.value for r in V.visible(log, product).collect()} == {1: 105, 2: 4}
     assert V.get(log, 1, M.SUM).first().expire_ts == 40
@@ -246,9 +246,9 @@ def test_store(spark, tmp_path):
     with pytest.raises(LogError):
         Store.union(str(tmp_path / "e"), [s, right])
     s.delete_checkpoint("first")
-    would = s.collect_garbage(dry_run=True)
+    would = s.collect_garbage(0, dry_run=True)
     assert would and state(s) == now
-    s.collect_garbage()
+    s.collect_garbage(0)
     assert state(s) == now
     with pytest.raises(LogError):
         s.write(s._ops([("put", 1, 1, None)]), seq=1)
@@ -290,7 +290,7 @@ def test_change_capture(spark, tmp_path):
     s.put(9, 9)
     assert cdc.consume(s, lambda df, n: None, cursor) == 5
     s.flush()
-    s.collect_garbage()
+    s.collect_garbage(0)
     s.put(10, 10)
     with pytest.raises(cdc.Truncated):
         cdc.consume(s, lambda df, n: None, 0)
@@ -355,7 +355,7 @@ def test_segments_of_a_store(spark, tmp_path):
     s.compact(proposal)
     assert {r.key: r.value for r in s.scan().collect()} == {1: 3, 11: 3, 12: 3, 21: 3}
     other = s.clone(str(tmp_path / "b"), segments=["1"])
-    s.collect_garbage()
+    s.collect_garbage(0)
     assert sorted(r.key for r in other.scan().collect()) == [11, 12]
     assert sorted((r.seq, r.ts) for r in s.tracker().collect())[-1] == (4, 180)
     s.drain("2")
