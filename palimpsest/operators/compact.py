@@ -27,31 +27,52 @@ def collapse(log: DataFrame, merge: MergeOperator | None, barrier: int | None =
         return log.select(*COLUMNS)
     rows = log.select(*COLUMNS, F.floor(F.col("seq") / span).alias("_span"))
     newer = Window.partitionBy("key", "_span").orderBy(F.desc("seq"))
-    spans = Window.partitionBy("key").orderBy(F.desc("_span"))  # one row per key and span
-    row = F.struct("kind", "seq", "expire_ts")
-    oldest = rows.groupBy("key", "_span").agg(F.min_by(row, "seq").alias("_oldest"))
-    before = oldest.select("key", "_span", F.lag("_oldest").over(spans).alias("_before"))
-    rows = rows.withColumn("_lag", F.lag(row).over(newer)).join(before, ["key", "_span"])
-    last = F.coalesce("_lag", "_before")
-    held = last["seq"] > barrier if barrier is not None else F.lit(False)
-    starts = last.isNull() | (last["kind"] != MERGE) | held | ~last["expire_ts"].eqNullSafe(F.col("expire_ts"))
-    rows = rows.withColumn("_start", starts.cast("int"))
-    counted = rows.groupBy("key", "_span").agg(F.sum("_start").alias("_n"))
-    offset = counted.select("key", "_span", F.coalesce(F.sum("_n").over(spans.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
-    runs = rows.withColumn("_run", F.sum("_start").over(newer.rowsBetween(Window.unboundedPreceding, 0))).join(offset, ["key", "_span"])
-    runs = runs.withColumn("_run", F.col("_run") + F.col("_offset"))
-    folded = runs.groupBy("key", "_run").agg(
+    rows = rows.withColumns({"_newer": F.lag(F.struct("kind", "seq", "expire_ts")).over(newer), "_oldest": F.lead("seq").over(newer).isNull()})
+    rows = rows.withColumn("_start", _starts(F.col("_newer"), F.col("_newer")["kind"] != MERGE, barrier).cast("int"))
+    rows = rows.withColumn("_run", F.sum("_start").over(newer.rowsBetween(Window.unboundedPreceding, 0)))
+    # One exchange for order, runs and folds: the groups lie within key and span.
+    folded = rows.groupBy("key", "_span", "_run").agg(
         F.count(F.lit(1)).alias("_n"),
         F.max("kind").alias("_only"),
         F.bool_or(F.col("kind") != MERGE).alias("_based"),
         F.max("value").alias("_value"),
         merge.agg(F.col("value"), F.col("seq"), F.col("key")).alias("_merged"),
+        F.min("seq").alias("_low"),
+        F.max("seq").alias("seq"),
+        F.max("create_ts").alias("create_ts"),
+        F.max("expire_ts").alias("expire_ts"),
+        F.bool_or("_oldest").alias("_last"),
+    )
+    value = F.when(F.col("_n") == 1, F.col("_value")).otherwise(F.col("_merged"))
+    folded = folded.withColumn("value", value).drop("_value", "_merged")
+    # The first run of a span may go on the last one of the next newer span: these, two per key and span at most, are put in
+    # order per key. Other runs are whole; they pass in lanes of their own span.
+    edge = (F.col("_run") == 1) | F.col("_last")
+    folded = folded.withColumn("_lane", F.when(edge, -1).otherwise(F.col("_span"))).drop("_span", "_last")
+    lane = Window.partitionBy("key", "_lane").orderBy(F.desc("seq"))
+    runs = folded.withColumn("_newer", F.lag(F.struct("_based", F.col("_low").alias("seq"), "expire_ts")).over(lane))
+    start = (F.col("_run") > 1) | _starts(F.col("_newer"), F.col("_newer")["_based"], barrier)
+    runs = runs.withColumn("_joined", F.sum(start.cast("int")).over(lane.rowsBetween(Window.unboundedPreceding, 0)))
+    out = runs.groupBy("key", "_lane", "_joined").agg(
+        F.sum("_n").alias("_n"),
+        F.count(F.lit(1)).alias("_parts"),
+        F.max("_only").alias("_only"),
+        F.bool_or("_based").alias("_based"),
+        F.max("value").alias("_value"),
+        merge.agg(F.col("value"), F.col("seq"), F.col("key")).alias("_merged"),
         F.max("seq").alias("seq"),
         F.max("create_ts").alias("create_ts"),
         F.max("expire_ts").alias("expire_ts"),
     )
     kind = F.when(F.col("_n") == 1, F.col("_only")).when(F.col("_based"), VALUE).otherwise(MERGE)
-    return folded.select("key", kind.alias("kind"), F.when(F.col("_n") == 1, F.col("_value")).otherwise(F.col("_merged")).alias("value"), "seq", "create_ts", "expire_ts")
+    value = F.when(F.col("_parts") == 1, F.col("_value")).otherwise(F.col("_merged")).cast(folded.schema["value"].dataType)
+    return out.select("key", kind.alias("kind"), value.alias("value"), "seq", "create_ts", "expire_ts")
+
+
+def _starts(newer: Column, based: Column, barrier: int | None) -> Column:
+    """Whether a row begins a run, by its next newer neighbour (its oldest sequence number and expiry) and whether that one is a base."""
+    held = newer["seq"] > barrier if barrier is not None else F.lit(False)
+    return newer.isNull() | based | held | ~newer["expire_ts"].eqNullSafe(F.col("expire_ts"))
 
 
 def retain(log: DataFrame, now: int | None = None, min_seq: int | None = None, drop_tail: bool = False, timeout_ms: int | None = None, clock: int | None = None, row_time: Column | None = None, keep_tombstones: int | None = None) -> DataFrame:
