@@ -102,6 +102,14 @@ def test_compaction_is_a_fold(spark, seed):
     assert sorted(map(str, got)) == sorted(map(str, fold_compaction(rows, barrier, now, min_seq, seed % 2 == 0)))
 
 
+def test_spans_do_not_change_what_collapse_returns(spark):
+    log = spark.createDataFrame(random_rows(random.Random(21)), LOG)
+    for op in [*M.REGISTRY.values(), M.concat(","), M.max_by_version(lambda v: v % 3), M.custom(max, T.LongType())]:
+        entered = op.entered(log.withColumn("value", log["value"].cast("string")) if op.name == "concat" else log)
+        whole, narrow = ({(r.key, r.seq): tuple(r) for r in C.collapse(entered, op, 30, span=n).collect()} for n in (1 << 20, 5))
+        assert whole == narrow, op.name
+
+
 def test_compaction_keeps_what_is_visible(spark):
     log = spark.createDataFrame(random_rows(random.Random(9)), LOG)
     after = C.compact([log], M.SUM, barrier=30, min_seq=30, oldest=True)
