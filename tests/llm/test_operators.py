@@ -450,6 +450,32 @@ def test_warc_files_begin_with_a_dictionary(spark, sf_dir, tmp_path):
     assert len(raw) < sum(len(r.html) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()) / 2
 
 
+@pytest.mark.parametrize(("most", "rows"), [(1, 64), (2_000, 64), (1 << 30, 5)])
+def test_warc_archives_are_closed(spark, tmp_path, most, rows):
+    import zstandard
+
+    pages = spark.createDataFrame([(i, f"u{i}", f"<p>{i}</p>" * (i % 50 * 100)) for i in range(60)], "page_id long, url string, html string").withColumn("at", F.lit("2020-02-03 04:05:06").cast("timestamp"))
+    path = tmp_path / "warc"
+    warc.write_warc(pages.coalesce(2), str(path), date_col="at", archive_bytes=most, archive_rows=rows)
+    files = sorted(path.glob("part-*"))
+    assert len(files) >= (60 if most == 1 else 3 if rows == 64 else 20)
+    ids = []
+    for f in files:
+        raw = f.read_bytes()
+        assert raw[:4] == warc.DICTIONARY_MAGIC and len(raw) < 100_000
+        found = [fields for fields, _ in warc.parse(warc.open_archive(raw))]
+        assert found[0]["warc-type"] == "warcinfo" and len(found) > 1 and "warcinfo" not in [x["warc-type"] for x in found[1:]]
+        assert {x["warc-date"] for x in found[1:]} == {"2020-02-03T04:05:06Z"}
+        ids += [x["warc-record-id"] for x in found]
+        dictionary = zstandard.ZstdCompressionDict(raw[8 : 8 + int.from_bytes(raw[4:8], "little")])
+        assert zstandard.ZstdDecompressor(dict_data=dictionary).stream_reader(raw, read_across_frames=True).read(9) == b"WARC/1.1\r"
+    assert len(set(ids)) == len(ids) == 60 + len(files)
+    texts = {r.page_id: r.html for r in pages.collect()}
+    got = warc.read_warc(spark, str(path)).collect()
+    assert sorted(r.page_id for r in got) == sorted(texts)
+    assert all(bytes(r.payload).decode() == texts[r.page_id] for r in got if r.record_type == "response")
+
+
 # -- classifiers
 
 
