@@ -22,6 +22,7 @@ from ..operators import seqtime as Q
 from ..operators import txn as X
 from ..operators import visible as V
 from ..operators.log import COLUMNS, MERGE, TOMBSTONE, VALUE, as_log
+from ..settings import scratch
 from ..sources import inspect
 from ..sources.store import Conflict, Fenced, Store
 from ..streaming import cdc
@@ -443,7 +444,7 @@ def txn_rw_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(_TXN + _PHANTOM)
 def txn_phantom_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     txns, writes, _, ranges = _txns(spark, sf_dir)
-    return X.phantom_conflicts(txns, ranges, writes, width=8)
+    return X.phantom_conflicts(txns, ranges, writes)
 
 
 @_query(_TXN + _FREE)
@@ -523,22 +524,6 @@ def file_index_lower_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- stores
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share; it goes when the driver ends."""
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="checkpoints-")
-    path = f"{root.rstrip('/')}/stores/{uuid.uuid4().hex}"
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
-
-
 #: The events in four parts of equal spans of sequence numbers, as four write batches.
 PARTS = 4
 _PART = f", part AS (SELECT *, (seq - 1) // (1 + (SELECT max(seq) - 1 FROM log) // {PARTS}) + 1 AS batch FROM log)"
@@ -551,7 +536,7 @@ def _parts(log: DataFrame) -> list[DataFrame]:
 
 
 def _store(spark: SparkSession, **options: Any) -> Store:
-    return Store(spark, _scratch(spark), M.SUM, key=T.LongType(), value=T.LongType(), **options).open_writer()
+    return Store(spark, scratch(spark), M.SUM, key=T.LongType(), value=T.LongType(), **options).open_writer()
 
 
 def _loaded(spark: SparkSession, sf_dir: str, **options: Any) -> Store:
@@ -661,14 +646,14 @@ def store_clone_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two clones of a store, clipped to neighbouring ranges of keys, made one again."""
     store = _loaded(spark, sf_dir)
     store.flush()
-    left, right = store.clone(_scratch(spark), clip="key < 20"), store.clone(_scratch(spark), clip="key >= 20 and key < 50")
-    return Store.union(_scratch(spark), [left, right]).scan()
+    left, right = store.clone(scratch(spark), clip="key < 20"), store.clone(scratch(spark), clip="key >= 20 and key < 50")
+    return Store.union(scratch(spark), [left, right]).scan()
 
 
 @_query(f1() + STATE)
 def cdc_materialize_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log written as four folders, consumed by a stream with an idempotent sink, and read back."""
-    root = _scratch(spark)
+    root = scratch(spark)
     log = event_log(spark, sf_dir).select(*COLUMNS)
     for k, part in enumerate(_parts(log), 1):
         part.write.parquet(f"{root}/wal/{k:020d}")
@@ -751,7 +736,7 @@ def cli_count_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..__main__ import counted
 
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    store = Store(spark, _scratch(spark)).open_writer()
+    store = Store(spark, scratch(spark)).open_writer()
     binary = lambda c: codecs.text(F.col(c).cast("string"))
     store.load(as_log(o, binary("o_custkey"), F.lit(VALUE), binary("o_orderstatus"), F.col("o_orderkey") + 1))
     return counted(store.scan())

@@ -1,12 +1,16 @@
-"""Settings of a store: defaults, then a JSON file, then the environment."""
+"""Settings of a store: defaults, then a JSON file, then the environment; and the folder for intermediate tables."""
 
 from __future__ import annotations
 
 import json
 import os
+import tempfile
+import uuid
 from dataclasses import dataclass, fields
 from typing import Any
 
+from pyspark.sql import SparkSession
+
 
 @dataclass
 class Settings:
@@ -44,3 +48,16 @@ class Settings:
 
     def write_options(self) -> dict[str, str]:
         return {"compression": self.compression} | ({"parquet.bloom.filter.enabled#key": "true"} if self.bloom_filter else {})
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share; it goes when the driver ends."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="checkpoints-")
+    path = f"{root.rstrip('/')}/stores/{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
