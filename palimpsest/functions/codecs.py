@@ -85,6 +85,41 @@ def uuid(c: Column) -> Column:
     return F.unhex(F.translate(c, "-", ""))
 
 
+def cell(c: Column, low: float, high: float, bits: int = 31) -> Column:
+    """The place of a coordinate among 2 ** bits equal steps from low to high; beyond the ends, the first or last step; null stays null."""
+    steps = 1 << bits
+    at = F.floor((c.cast("double") - low) / (high - low) * steps)
+    return F.when(c.isNotNull(), F.least(F.greatest(at, F.lit(0)), F.lit(steps - 1)).cast("long"))
+
+
+def _shift(name: str, n: Column, by: Column) -> Column:
+    return F.call_function(name, n, by.cast("int"))
+
+
+def morton(*parts: Column, bits: int = 31) -> Column:
+    """Z-order key of whole numbers of `bits` bits each: their bits in turn, the last part's lowest. Null if a part is null."""
+    n = len(parts)
+    if n * bits > 63:
+        raise ValueError("a key has at most 63 bits")
+    one = F.lit(1).cast("long")
+
+    def spread(part: Column, place: int) -> Column:
+        bit = lambda i: _shift("shiftleft", _shift("shiftright", part.cast("long"), i).bitwiseAND(one), i * n + place)
+        return F.aggregate(F.sequence(F.lit(0), F.lit(bits - 1)), F.lit(0).cast("long"), lambda done, i: done.bitwiseOR(bit(i)))
+
+    code = spread(parts[-1], 0)
+    for place, part in enumerate(reversed(parts[:-1]), 1):
+        code = code.bitwiseOR(spread(part, place))
+    return u64(code)
+
+
+def morton_decode(b: Column, part: int, parts: int, bits: int = 31) -> Column:
+    """One of the numbers that morton() put together, counted from 0."""
+    code, one, place = u64_decode(b), F.lit(1).cast("long"), parts - 1 - part
+    bit = lambda i: _shift("shiftleft", _shift("shiftright", code, i * parts + place).bitwiseAND(one), i)
+    return F.when(b.isNotNull(), F.aggregate(F.sequence(F.lit(0), F.lit(bits - 1)), F.lit(0).cast("long"), lambda done, i: done.bitwiseOR(bit(i))))
+
+
 _TOP = np.uint64(1 << 63)
 
 
