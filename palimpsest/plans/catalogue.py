@@ -463,7 +463,7 @@ def segment_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f1(where="key = 23") + STATE)
 def segment_pruned_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A key of a segmented store: only its segment's files are read."""
+    """A key of a segmented store: only files that hold its segment are read."""
     store = _loaded(spark, sf_dir, segment=lambda k: F.floor(k / 10))
     store.flush()
     m = store.manifest()
